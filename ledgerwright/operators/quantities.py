@@ -245,7 +245,7 @@ def contradictions(df: DataFrame, key: str = "ord", tolerance: float = 0.02, **c
     the passages join by their bucket. So passages that agree are never compared, however many they are, and a hot
     company spreads over its measures, years and buckets. A null company states nothing comparable.
     """
-    step = F.lit(1 + tolerance / 2)
+    step = 1 + tolerance / 2
     v = F.col("value")
     bucket = F.when(v == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(step, F.abs(v))) * 2 + F.when(v < 0, 1).otherwise(0))
     said = common_values(df, key=key, **columns).where("company IS NOT NULL").select(F.col(key).alias("k"), F.xxhash64("company", "measure", "fiscal_year").alias("g"), "company", "measure", "fiscal_year", "value", bucket.cast("bigint").alias("b"))
