@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.llm import canonical, pieces
+from ledgerwright.llm import canonical, pieces, scans
 from ledgerwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,16 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "passages"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(table(spark, sf_dir, "passages"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "passages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p4_found, p4_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p4_found, p4_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
