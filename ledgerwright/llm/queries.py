@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.llm import canonical, pieces, scans
+from ledgerwright.llm import canonical, personal, pieces, scans
 from ledgerwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,16 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(table(spark, sf_dir, "passages"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_mentions(table(spark, sf_dir, "documents"))
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.masked_texts(table(spark, sf_dir, "documents")).select("doc_id", "masked")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p4_found, p4_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p4_found, p4_pieces, p8_found, p8_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
