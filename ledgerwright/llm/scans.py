@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.canonical import canonical
+from ledgerwright.runtime import cut
 
 #: Words and word pairs below this share of all are outside the model: it has at most 1/SHARE entries of each.
 SHARE = 4e-6
@@ -211,8 +212,10 @@ def _misread(text: str, model: Model) -> tuple[str, bool]:
         return whole.replace(number, fixed)
 
     text = _NUMBER.sub(figures, text)
-    tokens = [m for m in _TOKEN.finditer(text) if not _coded(text, m)]
     safe = model.safe
+    if all(w in safe or w.isdigit() for w in set(_TOKEN.findall(text.lower()))):
+        return text, found
+    tokens = [m for m in _TOKEN.finditer(text) if not _coded(text, m)]
     doubtful = [i for i, m in enumerate(tokens) if not m[0].isdigit() and m[0].lower() not in safe]
     if not doubtful:
         return text, found
@@ -313,6 +316,7 @@ def _notes(df: DataFrame, text: str, key: str, company: str, kind: str, wanted:
 def fit(notes: DataFrame) -> Model:
     """The model of a table k, company, t. What reaches the driver is bounded by the shares, not by the corpus."""
     counts = notes.select("t", "company").mapInPandas(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    counts = cut(counts)  # read twice below: the texts are counted once
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     pages = F.sum(F.when(F.col("kind") == "p", F.col("total")))
     least = totals.crossJoin(totals.agg(pages.alias("pages")))  # four rows by one
