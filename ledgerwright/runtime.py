@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import importlib.util
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that Python operators run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerwright_shipped", False):
+        return
+    sc._ledgerwright_shipped = True
+    home = Path(importlib.util.find_spec("ledgerwright").origin).parent
+    if home.parent.suffix == ".zip":
+        return
+    made = tempfile.mkdtemp(prefix="ledgerwright-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    stage = Path(made, "stage", "ledgerwright")
+    shutil.copytree(home, stage, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(made, "ledgerwright")), "zip", stage.parent))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
