@@ -246,25 +246,12 @@ class Checker:
         return {k for w in set(words) & self.by_key.keys() for k in self.by_key[w]}
 
     def holds(self, k: int, words: list[str], spans: list[tuple[int, int]]) -> bool:
+        """Whether the part is leaked at any of the passages. Each is aligned by itself with few words around it, since a
+        run of LEAST_RUN words fits into one; for a question as many as it has, as it must be whole."""
         part = self.parts[k]
-        reach = len(part.words) + len(part.words) // 4
-        merged: list[list[int]] = []
-        for a, b in sorted(spans):
-            a, b = max(0, a - reach), min(len(words), b + reach)
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
+        reach = len(part.words) if part.whole else WINDOW // 2
         others = self.companies - self.companies_of[k]
-        return any(leaked(part, words[a:b], others) for a, b in _pieces(merged, 4 * reach))
-
-
-def _pieces(spans: list[list[int]], size: int) -> Iterator[tuple[int, int]]:
-    """Long stretches in overlapping pieces, so that the alignment stays small."""
-    for a, b in spans:
-        step = max(size // 2, 1)
-        for s in range(a, max(b - step, a + 1), step):
-            yield s, min(b, s + size)
+        return any(leaked(part, words[max(0, a - reach) : b + reach], others) for a, b in spans)
 
 
 # ---------------------------------------------------------------- the latent space
