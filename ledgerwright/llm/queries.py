@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.llm import canonical, leaks, personal, pieces, scans
+from ledgerwright.llm import canonical, containers, leaks, personal, pieces, scans
 from ledgerwright.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(table(spark, sf_dir, "passages"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.packed(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.fill(containers.packed(table(spark, sf_dir, "documents")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -49,7 +57,7 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p4_found, p4_pieces, p7_found, p8_found, p8_masked)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p4_found, p4_pieces, p6_containers, p6_fill, p7_found, p8_found, p8_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
