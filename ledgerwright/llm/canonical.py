@@ -88,9 +88,11 @@ def unstable(text: Column) -> Column:
 
 
 @lru_cache(1)
-def _segments() -> re.Pattern:
-    """Blank-delimited runs with at least one unstable character; blanks of other kinds may lie inside."""
-    return re.compile(rf"[^ \t\n\r]*{_class(False)}[^ \t\n\r]*")
+def _unstable() -> re.Pattern:
+    return re.compile(_class(False))
+
+
+_BLANK = re.compile(r"[ \t\n]")
 
 
 @lru_cache(1)
@@ -115,8 +117,8 @@ def _word(m: re.Match) -> str:
     return word.translate(latin)
 
 
-def _segment(m: re.Match) -> str:
-    run = m[0].translate(_tables()[0])
+def _segment(run: str) -> str:
+    run = run.translate(_tables()[0])
     run = unicodedata.normalize("NFD", run)
     if not run.isascii():
         run = _letters()[0].sub(_word, run)
@@ -129,7 +131,14 @@ def canonical_text(text: str) -> str:
         text = re.sub(SOFT_HYPHEN + r"(?=[​-‏⁠﻿]*(?:\r\n?|\n))", "-", text)
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    return _segments().sub(_segment, text)
+    out, at = [], 0
+    while m := _unstable().search(text, at):
+        # the segment: the whole blank-delimited run around the unstable character
+        start = max(at, *(text.rfind(blank, at, m.start()) + 1 for blank in " \t\n"))
+        end = stop.start() if (stop := _BLANK.search(text, m.end())) else len(text)
+        out += [text[at:start], _segment(text[start:end])]
+        at = end
+    return "".join([*out, text[at:]]) if out else text
 
 
 @F.pandas_udf(T.StringType())

@@ -77,7 +77,7 @@ def _token(text: str, tweak: str, key: bytes) -> str:
 _S = r"[ \t  ]*\n?[ \t  ]*"  # blanks, at most one line end
 _AT = r"(?:@|\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\s@\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?)"
-_EMAIL = re.compile(rf"[\w.+%'’-]*[\w+%-]{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,}}(?![\w@])")
+_EMAIL = re.compile(rf"(?<![\w.+%-])\w[\w.+%'’-]*+{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,}}(?![\w@])")
 
 _SEP = r"[ .\- ]"
 _EXT = rf"(?:{_S},?{_S}(?:x|ext\.?|extension|Durchwahl|poste){_S}\d{{1,6}})?"
