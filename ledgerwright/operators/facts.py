@@ -22,8 +22,8 @@ ALIASES = {
     "current_assets": ("total current assets",), "ppe": ("plant and equipment, net", "property, plant and equipment, net"), "goodwill": ("goodwill",), "total_assets": ("total assets",),
     "accounts_payable": ("trade payables", "accounts payable"), "accrued_liabilities": ("accrued liabilities",), "short_term_debt": ("current portion of debt",), "current_liabilities": ("total current liabilities",),
     "long_term_debt": ("long-term debt", "long-term borrowings"), "total_liabilities": ("total liabilities",), "shareholders_equity": ("total equity", "shareholders' equity", "total shareholders' equity"),
-    "depreciation": ("depreciation and amortization",), "cash_from_operations": ("net cash from operations", "cash provided by operations", "net cash provided by operating activities"),
-    "capex": ("purchases of equipment", "purchases of property and equipment", "capital expenditures"), "dividends_paid": ("dividends paid",), "shares_outstanding": ("shares outstanding",),
+    "depreciation": ("depreciation and amortization",), "cash_from_operations": ("net cash from operations", "cash from operating activities", "cash provided by operations", "net cash provided by operating activities"),
+    "capex": ("purchases of plant and equipment", "purchases of equipment", "purchases of property and equipment", "capital expenditures"), "repurchases": ("repurchase of shares",), "dividends_paid": ("dividends paid",), "shares_outstanding": ("shares outstanding",),
 }
 # The formulas. _old is the year before, _new the year itself.
 FORMULAS = {

@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.plans import measured
+from ledgerwright.plans import analytics, measured
 
-MODULES = (measured,)
+MODULES = (analytics, measured)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The best passages of every question, with the rules that moved them."""
+    return analytics.search_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
