@@ -52,7 +52,7 @@ def classified(questions: DataFrame) -> DataFrame:
     q, low = F.col("question"), F.lower("question")
     named = metrics(q)
     calculation = F.coalesce(*(F.when(low.rlike(starts_with_any(w)), F.lit(k)) for k, w in CALCULATION.items()), F.when(low.rlike(starts_with_any(CHANGE_VERBS)), F.lit("change")), F.lit("none"))
-    votes = {s: F.size(F.filter(named, lambda m, s=s: m.isin(*(k for k, v in METRICS.items() if v == s)))) for s in ("cash_flow", "income_statement", "balance_sheet")}
+    votes = {s: F.size(F.array_intersect(named, F.array(*(F.lit(k) for k, v in METRICS.items() if v == s)))) for s in ("cash_flow", "income_statement", "balance_sheet")}
     literal = {s: low.rlike(p) for s, p in STATEMENTS.items()}
     one = sum((c.cast("int") for c in literal.values()), F.lit(0)) == 1
     most = F.greatest(*votes.values())

@@ -22,7 +22,7 @@ def is_table_line(line: Column) -> Column:
 
 def cells(line: Column) -> Column:
     """The trimmed cells of a pipe row."""
-    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
 
 
 def table_lines(text: Column) -> Column:

@@ -261,10 +261,10 @@ def chunk_prose(spark: SparkSession, d: str) -> DataFrame:
     return tables.chunks(table(spark, d, "documents"))
 
 
-@query("""WITH l AS (SELECT ord, i AS at, string_split(content, chr(10))[i] AS line FROM (SELECT ord, content, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM passages WHERE content IS NOT NULL)),
+@query("""WITH l AS (SELECT ord, i AS line_no, string_split(content, chr(10))[i] AS line FROM (SELECT ord, content, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM passages WHERE content IS NOT NULL)),
   t AS (SELECT *, contains(line, '|') AND (regexp_matches(line, '[\\p{L}\\p{N}]') OR regexp_full_match(trim(line), '\\|?(\\s*:?-{3,}:?\\s*\\|)+\\s*:?-*:?\\s*\\|?')) AS is_table FROM l),
-  b AS (SELECT *, sum(CASE WHEN is_table <> lag_t THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY at) AS block FROM (SELECT *, lag(is_table) OVER (PARTITION BY ord ORDER BY at) AS lag_t FROM t))
-SELECT ord, CAST(block AS BIGINT) AS block, is_table, count(*) AS lines, string_agg(line, chr(10) ORDER BY at) AS body FROM b GROUP BY ord, block, is_table""")
+  b AS (SELECT *, sum(CASE WHEN is_table <> lag_t THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY line_no) AS block FROM (SELECT *, lag(is_table) OVER (PARTITION BY ord ORDER BY line_no) AS lag_t FROM t))
+SELECT ord, CAST(block AS BIGINT) AS block, is_table, count(*) AS lines, string_agg(line, chr(10) ORDER BY line_no) AS body FROM b GROUP BY ord, block, is_table""")
 def block_split(spark: SparkSession, d: str) -> DataFrame:
     return tables.blocks(_passages(spark, d))
 
