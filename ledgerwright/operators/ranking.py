@@ -102,8 +102,9 @@ def search(passages: DataFrame, questions: DataFrame, top_k: int = 5, switched_o
     for name, factor in factors.items():
         score = score * factor
         names.append(F.when(factor != 1.0, F.lit(name)))
-    scored = full.select("qid", "key", F.round(score, 6).alias("score"), F.concat_ws(",", *names).alias("applied_rules")).where(F.col("score") > LEAST)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "key"))
+    scored = full.select("qid", "key", score.alias("score"), F.concat_ws(",", *names).alias("applied_rules")).where(F.round("score", 6) > LEAST)
+    # equal up to the order of summation is equal
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "key"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
     return best.select(F.col("qid").alias("id"), F.col("key").alias("ord"), "rank", F.round("score", 4).alias("relevance_score"), "applied_rules")
 

@@ -68,8 +68,8 @@ def _search_sql(top: int, off: frozenset[str] = frozenset()) -> str:
     return f"""WITH {_INDEX}, {_BM25}, {_OVERLAP},
   c AS (SELECT qid, ord, 0.7 * coalesce(bm25, 0) + 0.3 * coalesce(overlap, 0) AS score0 FROM bm FULL JOIN ov USING (qid, ord)),
   f AS (SELECT c.*, {flags} FROM c JOIN base USING (ord) JOIN asked a ON a.qid = c.qid),
-  s AS (SELECT qid AS id, ord, round(score0 * {product}, 6) AS score, concat_ws(',', {named}) AS applied_rules FROM f),
-  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS rank FROM s WHERE score > 0.01)
+  s AS (SELECT qid AS id, ord, score0 * {product} AS score, concat_ws(',', {named}) AS applied_rules FROM f),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, ord) AS rank FROM s WHERE round(score, 6) > 0.01)
 SELECT id, ord, rank, round(score, 4) AS relevance_score, applied_rules FROM r WHERE rank <= {top}"""
 
 
