@@ -20,9 +20,10 @@ TERMS = (
 
 
 def tokens(text: Column) -> Column:
-    """Tokens in order, then each term the text contains, once."""
-    low = F.lower(text)
-    return F.concat(F.regexp_extract_all(low, F.lit(f"({TOKEN})"), F.lit(1)), F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(low, t)))
+    """Tokens in order, then each term the text contains, once. The lower-cased text is bound once, not made again for each term."""
+    terms = F.array(*map(F.lit, TERMS))
+    made = F.transform(F.array(F.lower(text)), lambda low: F.concat(F.regexp_extract_all(low, F.lit(f"({TOKEN})"), F.lit(1)), F.filter(terms, lambda t: F.contains(low, t))))
+    return F.get(made, 0)
 
 
 def years(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerwright.functions import text as T
+from ledgerwright.runtime import cut, spread
 
 # The BM25 constants, the weights of its parts, and the least score.
 K1, B, W_BM25, W_OVERLAP, LEAST = 1.2, 0.75, 0.7, 0.3, 0.01
@@ -31,10 +32,21 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("store", "token").agg(F.count("*").alias("df"))
 
 
-def store_stats(passages: DataFrame, text: str = "content", store: str = "company") -> DataFrame:
-    """store, n, avgdl: passages and mean length of each store; 50 where there are no tokens."""
-    size = F.size(T.tokens(F.coalesce(F.col(text), F.lit(""))))
-    return passages.groupBy(F.col(store).alias("store")).agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(50.0)).alias("avgdl"))
+def store_stats(post: DataFrame, passages: DataFrame, store: str = "company") -> DataFrame:
+    """store, n, avgdl: passages and mean length of each store; 50 where there are no tokens. The lengths are what the postings add up to."""
+    n = passages.groupBy(F.col(store).alias("store")).agg(F.count("*").alias("n"))
+    total = post.groupBy("store").agg(F.sum("tf").alias("total"))
+    return n.join(total, "store", "left").select("store", "n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(50.0).alias("avgdl"))
+
+
+class Index:
+    """The index of a table of passages: its texts are tokenised once, the postings written and read again by every use."""
+
+    def __init__(self, passages: DataFrame):
+        self.passages = passages = spread(passages, "ord", "company", "content", "period", "section")
+        self.post = cut(postings(passages))
+        self.freq = document_frequency(self.post)
+        self.stats = store_stats(self.post, passages)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -46,60 +58,72 @@ def question_store(doc_name: Column) -> Column:
     return F.upper(F.regexp_extract(F.trim(doc_name), r"^([A-Za-z0-9]+)", 1))
 
 
-def bm25(passages: DataFrame, asked: DataFrame) -> DataFrame:
-    """qid, key, score for asked(qid, store, question): repeated query tokens count as often as they stand."""
-    post = postings(passages)
+def bm25(index: Index, asked: DataFrame) -> DataFrame:
+    """qid, key, bm25 for asked(qid, store, question): repeated query tokens count as often as they stand."""
     terms = asked.select("qid", "store", F.explode(T.tokens(F.col("question"))).alias("token")).groupBy("qid", "store", "token").agg(F.count("*").alias("qn"))
-    weighted = document_frequency(post).join(store_stats(passages), "store").select("store", "token", "avgdl", idf(F.col("n"), F.col("df")).alias("w"))
-    hit = terms.join(weighted, ["store", "token"]).join(post, ["store", "token"])
-    part = F.col("qn") * F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighted = terms.join(index.freq, ["store", "token"]).join(index.stats, "store").select("qid", "store", "token", "avgdl", (F.col("qn") * idf(F.col("n"), F.col("df"))).alias("w"))
+    hit = index.post.join(weighted, ["store", "token"])
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("qid", "key").agg(F.sum(part).alias("bm25"))
 
 
-def overlap(passages: DataFrame, asked: DataFrame) -> DataFrame:
-    """qid, key, overlap: the weights of the query tokens that a passage contains as substrings, also inside words."""
-    freq = document_frequency(postings(passages))
-    terms = asked.select("qid", "store", F.explode(T.tokens(F.col("question"))).alias("token"))
-    terms = terms.join(store_stats(passages), "store").join(freq, ["store", "token"], "left")
-    wanted = terms.groupBy("qid", "store").agg(F.collect_list(F.struct("token", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("w"))).alias("wanted"))
-    pair = wanted.join(passages.select(F.col("company").alias("store"), F.col("ord").alias("key"), F.lower("content").alias("low")), "store")
-    hit = F.filter("wanted", lambda t: F.contains(F.col("low"), t["token"]))
-    return pair.select("qid", "key", F.aggregate(hit, F.lit(0.0), lambda a, t: a + t["w"]).alias("overlap")).where("overlap > 0")
+def overlap(index: Index, asked: DataFrame) -> DataFrame:
+    """qid, key, overlap: the weights of the query tokens that a passage contains as substrings, also inside words.
+
+    Each text is compared once with the distinct query tokens of its company; the tokens found then join the questions.
+    So a text isn't read again for every question of a company.
+    """
+    terms = asked.select("qid", "store", F.explode(T.tokens(F.col("question"))).alias("token")).groupBy("qid", "store", "token").agg(F.count("*").alias("qn"))
+    weight = terms.join(index.stats, "store").join(index.freq, ["store", "token"], "left").select("qid", "store", "token", (F.col("qn") * idf(F.col("n"), F.coalesce("df", F.lit(0)))).alias("w"))
+    wanted = terms.groupBy("store").agg(F.collect_set("token").alias("wanted"))
+    low = index.passages.select(F.col("company").alias("store"), F.col("ord").alias("key"), F.lower("content").alias("low")).join(wanted, "store")
+    held = low.select("store", "key", F.explode(F.get(F.transform(F.array("low"), lambda x: F.filter("wanted", lambda t: F.contains(x, t))), 0)).alias("token"))
+    return held.join(weight, ["store", "token"]).groupBy("qid", "key").agg(F.sum("w").alias("overlap"))
+
+
+def passage_marks(passages: DataFrame) -> DataFrame:
+    """key, total, named, weak, years, section: what the rules look at, once per passage."""
+    label = F.regexp_extract("content", r"Line Item:\s*Total\b([^|]*)", 1)
+    return passages.select(
+        F.col("ord").alias("key"), F.col("content").rlike(r"Line Item:\s*Total\b").alias("total"), F.array_remove(T.stems(label), "total").alias("named"), F.col("content").rlike(r"\bCol\d+:").alias("weak"),
+        T.years(F.concat_ws(" ", "period", "content")).alias("years"), "section",
+    )
 
 
-def rule_factors(content: Column, period: Column, section: Column, question: Column, switched_off: frozenset[str] = frozenset()) -> dict[str, Column]:
-    """Each rule's factor for a passage and a question, 1 where it doesn't apply; a rule that is off is always 1."""
-    label = F.regexp_extract(content, r"Line Item:\s*Total\b([^|]*)", 1)
-    asked = T.stems(question)
-    named = F.array_remove(T.stems(label), "total")
-    hints = [F.lower(question).rlike(p).cast("int") for p in STATEMENTS.values()]
+def question_marks(asked: DataFrame) -> DataFrame:
+    """qid, asked_stems, asked_years, hint: the same of the questions."""
+    hints = [F.lower("question").rlike(p).cast("int") for p in STATEMENTS.values()]
     one = sum(hints[1:], hints[0]) == 1
     hint = F.when(one, F.coalesce(*(F.when(h == 1, F.lit(s)) for s, h in zip(STATEMENTS, hints))))
+    return asked.select("qid", T.stems(F.col("question")).alias("asked_stems"), T.years(F.col("question")).alias("asked_years"), hint.alias("hint"))
+
+
+def rule_factors(switched_off: frozenset[str] = frozenset()) -> dict[str, Column]:
+    """Each rule's factor over the marks of a passage and a question, 1 where it doesn't apply; a rule that is off is always 1."""
     applies = {
-        "total_row_boost": content.rlike(r"Line Item:\s*Total\b") & ((F.size(named) == 0) | F.arrays_overlap(named, asked)),
-        "low_confidence_column_penalty": content.rlike(r"\bCol\d+:"),
-        "year_match_boost": F.arrays_overlap(T.years(F.concat_ws(" ", period, content)), T.years(question)),
-        "statement_type_hint_boost": F.coalesce(section == hint, F.lit(False)),
+        "total_row_boost": F.col("total") & ((F.size("named") == 0) | F.arrays_overlap("named", "asked_stems")),
+        "low_confidence_column_penalty": F.col("weak"),
+        "year_match_boost": F.arrays_overlap("years", "asked_years"),
+        "statement_type_hint_boost": F.col("section") == F.col("hint"),
     }
     return {name: F.when(F.lit(name not in switched_off) & F.coalesce(applies[name], F.lit(False)), factor).otherwise(1.0) for name, factor in RULES.items()}
 
 
-def search(passages: DataFrame, questions: DataFrame, top_k: int = 5, switched_off: frozenset[str] = frozenset(), exclude: DataFrame | None = None) -> DataFrame:
+def search(passages: DataFrame, questions: DataFrame, top_k: int = 5, switched_off: frozenset[str] = frozenset(), exclude: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """id, ord, rank, relevance_score, applied_rules: the best passages of each question's company.
 
     Ties go to the passage that was read in first. `exclude` (id, ord) takes passages out that a question already has;
     they still count for the index. Questions without a known company or text give no row.
     """
+    index = index or Index(passages)
     asked = questions.where("question IS NOT NULL").select(F.col("id").alias("qid"), question_store(F.col("doc_name")).alias("store"), "question")
-    found = bm25(passages, asked).join(overlap(passages, asked), ["qid", "key"], "full")
+    parts = bm25(index, asked).select("qid", "key", F.col("bm25").alias("b"), F.lit(0.0).alias("o")).unionByName(overlap(index, asked).select("qid", "key", F.lit(0.0).alias("b"), F.col("overlap").alias("o")))
+    found = parts.groupBy("qid", "key").agg((W_BM25 * F.sum("b") + W_OVERLAP * F.sum("o")).alias("base"))
     if exclude is not None:
         found = found.join(exclude.select(F.col("id").alias("qid"), F.col("ord").alias("key")), ["qid", "key"], "left_anti")
-    base = W_BM25 * F.coalesce("bm25", F.lit(0.0)) + W_OVERLAP * F.coalesce("overlap", F.lit(0.0))
-    body = passages.select(F.col("ord").alias("key"), "content", "period", "section")
-    full = found.select("qid", "key", base.alias("base")).join(body, "key").join(asked.select("qid", "question"), "qid")
-    factors = rule_factors(F.col("content"), F.col("period"), F.col("section"), F.col("question"), switched_off)
+    full = found.join(passage_marks(index.passages), "key").join(question_marks(asked), "qid")
     score, names = F.col("base"), []
-    for name, factor in factors.items():
+    for name, factor in rule_factors(switched_off).items():
         score = score * factor
         names.append(F.when(factor != 1.0, F.lit(name)))
     scored = full.select("qid", "key", score.alias("score"), F.concat_ws(",", *names).alias("applied_rules")).where(F.round("score", 6) > LEAST)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright.functions import text as T
 from ledgerwright.operators import facts, grading, pages, questions, ranking, tables, usage
-from ledgerwright.runtime import table
+from ledgerwright.runtime import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,12 +102,13 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INDEX} SELECT store, token, df FROM dfreq")
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.document_frequency(ranking.postings(_passages(spark, d)))
+    return ranking.document_frequency(ranking.postings(spread(_passages(spark, d), "ord", "company", "content")))
 
 
 @query(f"WITH {_INDEX} SELECT store, n, round(avgdl, 6) AS avgdl FROM stat")
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = ranking.store_stats(_passages(spark, d))
+    p = _passages(spark, d)
+    s = ranking.store_stats(ranking.postings(p), p)
     return s.select("store", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -115,7 +116,7 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "questions").where("question IS NOT NULL").select(F.col("id").alias("qid"), ranking.question_store(F.col("doc_name")).alias("store"), "question")
     best = F.row_number().over(_window("qid", F.desc(F.round("bm25", 6)), "key"))
-    return ranking.bm25(_passages(spark, d), asked).withColumn("n", best).where("n <= 5").select(F.col("qid").alias("id"), F.col("key").alias("ord"), F.round("bm25", 5).alias("bm25"))
+    return ranking.bm25(ranking.Index(_passages(spark, d)), asked).withColumn("n", best).where("n <= 5").select(F.col("qid").alias("id"), F.col("key").alias("ord"), F.round("bm25", 5).alias("bm25"))
 
 
 def _window(part: str, *order):
@@ -137,7 +138,8 @@ def search_rules_off(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT * FROM ({_search_sql(6)}) WHERE rank > 1".replace("SELECT * FROM (WITH", "SELECT id, ord, rank - 1 AS rank, relevance_score, applied_rules FROM (WITH"))
 def search_excluding_best(spark: SparkSession, d: str) -> DataFrame:
     p, q = _passages(spark, d), table(spark, d, "questions")
-    return ranking.search(p, q, 5, exclude=ranking.search(p, q, 1).select("id", "ord"))
+    index = ranking.Index(p)
+    return ranking.search(p, q, 5, exclude=ranking.search(p, q, 1, index=index).select("id", "ord"), index=index)
 
 
 @query(f"""SELECT id, ord, relevance_score, position FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY relevance_score DESC, ord) AS position FROM (

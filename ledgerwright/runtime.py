@@ -36,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` (its named columns) in as many partitions as there are cores, if it has fewer.
+
+    A small compressed file is one split, however much work its texts are. Larger tables have enough splits: they pass
+    through as they are, without a shuffle.
+    """
+    df = df.select(*columns) if columns else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the folder the cluster names.
 
