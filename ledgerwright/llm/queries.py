@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwright.llm import canonical, containers, leaks, personal, pieces, scans
-from ledgerwright.runtime import table
+from ledgerwright.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.same_look_pairs(table(spark, sf_dir, "passages"))
+    return canonical.same_look_pairs(spread(table(spark, sf_dir, "passages"), "ord", "content"))
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonical_form(table(spark, sf_dir, "passages"))
+    return canonical.canonical_form(spread(table(spark, sf_dir, "passages"), "ord", "content"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,31 +29,31 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.noise(table(spark, sf_dir, "passages"))
+    return scans.noise(spread(table(spark, sf_dir, "passages"), "ord", "company", "type", "content"))
 
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.repaired(table(spark, sf_dir, "passages"))
+    return scans.repaired(spread(table(spark, sf_dir, "passages"), "ord", "company", "type", "content"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.packed(table(spark, sf_dir, "documents"))
+    return containers.packed(spread(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.fill(containers.packed(table(spark, sf_dir, "documents")))
+    return containers.fill(containers.packed(spread(table(spark, sf_dir, "documents"), "doc_id", "text")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.find_leaks(spread(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.found_mentions(table(spark, sf_dir, "documents"))
+    return personal.found_mentions(spread(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.masked_texts(table(spark, sf_dir, "documents")).select("doc_id", "masked")
+    return personal.masked_texts(spread(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", "masked")
 
 
 def queries() -> dict[str, Query]:

@@ -46,7 +46,8 @@ _NUMBER = re.compile(r"(?<![\w.,])(?:US)?\$?([0-9A-Za-z]{1,3}(?:,[0-9A-Za-z]{3})
 _GROUPED = re.compile(r"(?:\d{1,3}(?:,\d{3})+|\d{1,3})(?:\.\d+)?")
 _PAGE = re.compile(r"(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|page \d{1,4}(?: of \d{1,4})?|[a-z]-\d{1,3}|\d{1,3})", re.IGNORECASE)
 _BESIDE = re.compile(r"^\s*(\d{1,3})\s{2,}|\s{2,}(?:\|\s*)?(\d{1,3})\s*$")
-_BREAK = re.compile(r"([^\W\d_][\w'’-]*)[-¬‐‑]\s*$")
+_BREAK = re.compile(r"(?<![\w'’-])([^\W\d_][\w'’-]*)[-¬‐‑]\s*$")
+_BROKEN = ("-", "¬", "‐", "‑")
 _END = re.compile(r"[.!?:;。！？]['\"”’)\]¹²³⁴]*\s*$")
 
 
@@ -146,7 +147,12 @@ class Model:
     def candidates(self, token: str) -> list[tuple[str, float]]:
         """(word, log channel probability) of a lower-case token; itself included, with the likelihood of a word unknown."""
         if (known := self.cache.get(token)) is None:
-            known = [(w, math.log(p)) for w, p in readings(token, 1 if token in self.words else 2 if len(token) < 24 else 0).items() if w in self.words]
+            known = []
+            if len(token) < 24 and sum(map(str.isdigit, token)) <= 2:  # else a code, not a word
+                for most in (1,) if token in self.words else (1, 2):
+                    known = [(w, math.log(p)) for w, p in readings(token, most).items() if w in self.words]
+                    if known:
+                        break
             known.append((token, 0.0))
             if len(self.cache) < 200_000:
                 self.cache[token] = known
@@ -159,12 +165,11 @@ class Model:
             p = 0.3 * p + 0.7 * self.pairs.get(f"{before} {word}", 0) / m
         return math.log(p)
 
-    def decode(self, tokens: list[str]) -> list[str]:
-        """Viterbi over the candidates of each token of a line."""
+    def decode(self, tokens: list[tuple[str, bool]]) -> list[str]:
+        """Viterbi over the candidates of each token of a run of lower-case tokens; tokens that aren't doubtful stand as they are."""
         best: dict[str | None, tuple[float, tuple]] = {None: (0.0, ())}
-        for token in tokens:
-            low = token.lower()
-            options = [(low, 0.0)] if low in self.safe else self.candidates(low)
+        for token, doubtful in tokens:
+            options = self.candidates(token) if doubtful else [(token, 0.0)]
             nxt: dict[str | None, tuple[float, tuple]] = {}
             for word, channel in options:
                 for before, (score, path) in best.items():
@@ -213,28 +218,25 @@ def _misread(text: str, model: Model) -> tuple[str, bool]:
 
     text = _NUMBER.sub(figures, text)
     safe = model.safe
-    if all(w in safe or w.isdigit() for w in set(_TOKEN.findall(text.lower()))):
-        return text, found
-    tokens = [m for m in _TOKEN.finditer(text) if not _coded(text, m)]
-    doubtful = [i for i, m in enumerate(tokens) if not m[0].isdigit() and m[0].lower() not in safe]
-    if not doubtful:
+    unsafe = {w for w in set(_TOKEN.findall(text.lower())) if w not in safe and not w.isdigit()}
+    # a token without any other reading stays as it is, wherever it stands
+    unsafe = {w for w in unsafe if len(model.candidates(w)) > 1}
+    if not unsafe:
         return text, found
+    tokens = list(_TOKEN.finditer(text))
+    doubtful = {i for i, m in enumerate(tokens) if m[0].lower() in unsafe and not _coded(text, m)}
     changes: list[tuple[int, int, str]] = []
     done = -1
-    for i in doubtful:
+    for i in sorted(doubtful):
         if i <= done:
             continue
         a = i - 1 if i and not _between(text, tokens[i - 1], tokens[i]) else i
         b = i + 1
-        while b < len(tokens) and not _between(text, tokens[b - 1], tokens[b]) and (b in doubtful or b - 1 in doubtful):
+        while b < len(tokens) and (b in doubtful or b - 1 in doubtful) and not _between(text, tokens[b - 1], tokens[b]):
             b += 1
-        run = [m[0] for m in tokens[a:b]]
-        if all(len(model.candidates(w.lower())) == 1 for w in run if w.lower() not in safe and not w.isdigit()):
-            done = b - 1
-            continue
-        for m, word in zip(tokens[a:b], model.decode(run)):
-            if word != m[0].lower() and not m[0].isdigit():
-                changes.append((m.start(), m.end(), _cased(word, m[0])))
+        for k, word in zip(range(a, b), model.decode([(tokens[k][0].lower(), k in doubtful) for k in range(a, b)])):
+            if k in doubtful and word != tokens[k][0].lower():
+                changes.append((tokens[k].start(), tokens[k].end(), _cased(word, tokens[k][0])))
         done = b - 1
     if not changes:
         return text, found
@@ -270,7 +272,7 @@ def repair(body: str, company: str, model: Model) -> tuple[str, list[str]]:
     else:
         kept = lines
     text_lines = [x for x in kept if x.strip()]
-    wrapped = any(not _END.search(x) and not x.lstrip().startswith("|") and y[:1].islower() for x, y in zip(text_lines, text_lines[1:])) or any(_BREAK.search(x) for x in text_lines[:-1])
+    wrapped = any(not _END.search(x) and not x.lstrip().startswith("|") and y[:1].islower() for x, y in zip(text_lines, text_lines[1:])) or any(x.rstrip().endswith(_BROKEN) and _BREAK.search(x) for x in text_lines[:-1])
     if wrapped:
         parts: list[str] = []
         gap = False
@@ -284,7 +286,7 @@ def repair(body: str, company: str, model: Model) -> tuple[str, list[str]]:
                 gap = False
                 continue
             last = parts[-1]
-            m = _BREAK.search(last)
+            m = _BREAK.search(last) if last.endswith(_BROKEN) else None
             if m and clean[:1].islower():
                 tail = _WORD.match(clean)
                 whole = (m[1] + tail[0]).lower() if tail else ""

@@ -116,7 +116,7 @@ def test_scans(noisy):
 def test_channel():
     assert "from" in scans.readings("frorn") and "unreadable" in scans.readings("unreaclable") and "history" in scans.readings("h1story")
     model = scans.Model({"sales": 500, "increased": 400, "the": 900, "soles": 1}, {"sales increased": 300}, set(), 5000)
-    assert model.decode(["soles", "increased"]) == ["sales", "increased"] and model.decode(["the", "zzz"]) == ["the", "zzz"]
+    assert model.decode([("soles", True), ("increased", False)]) == ["sales", "increased"] and model.decode([("the", True), ("zzz", True)]) == ["the", "zzz"]
 
 
 # ---------------------------------------------------------------- p6
