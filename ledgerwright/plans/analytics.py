@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.functions import text as T
-from ledgerwright.operators import facts, grading, pages, questions, ranking, tables, usage
+from ledgerwright.operators import answers, facts, grading, pages, questions, ranking, tables, usage
 from ledgerwright.runtime import spread, table
 
 QUERIES: dict = {}
@@ -386,6 +386,43 @@ def answer_kinds(spark: SparkSession, d: str) -> DataFrame:
     return grading.answer_kinds(table(spark, d, "questions"))
 
 
+# ---------------------------------------------------------------- answers and checks
+
+_MVAR = ", ".join(f"('{a}', '{b}')" for a, b in answers.METRIC_VARIABLES.items())
+_LOOKUP = f"""{_CLASSES}, {_FACTS}, mv(metric, canonical) AS (VALUES {_MVAR}),
+  e AS (SELECT id, store, metric, unnest(years) AS year FROM (SELECT id, store, unnest(metrics) AS metric, years FROM k)),
+  look AS (SELECT e.id, e.metric, e.year, b.val AS value, b.ord FROM e JOIN mv USING (metric) JOIN best b ON b.company = e.store AND b.canonical = mv.canonical AND b.year = e.year)"""
+
+
+@query(_LOOKUP + " SELECT * FROM look")
+def direct_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return answers.direct_lookup(table(spark, d, "questions"), _passages(spark, d))
+
+
+@query(_LOOKUP + """, g AS (SELECT id, metric, min(year) AS first_year, max(year) AS last_year, arg_min(value, year) AS a, arg_max(value, year) AS b FROM look GROUP BY ALL)
+SELECT id, metric, first_year, last_year, round(b - a, 4) AS change, round(CASE WHEN a = 0 THEN 0 ELSE (b - a) / abs(a) * 100 END, 4) AS growth FROM g WHERE first_year < last_year""")
+def answered_change(spark: SparkSession, d: str) -> DataFrame:
+    return answers.answered_change(table(spark, d, "questions"), _passages(spark, d))
+
+
+_CHECK = f"""WITH hit AS ({_search_sql(5)}), q AS (SELECT id, lower(regexp_extract(doc_name, '([A-Za-z0-9]+)', 1)) AS name, list_distinct({_YEARS("question")}) AS asked FROM questions WHERE question IS NOT NULL),
+  p AS (SELECT h.id, count(*) AS evidence, flatten(list({_YEARS("concat_ws(' ', period, content)")})) AS years, list(lower(company)) AS companies FROM hit h JOIN passages USING (ord) GROUP BY h.id),
+  m AS (SELECT q.id, coalesce(evidence, 0) AS evidence, list_sort(list_filter(asked, lambda y: NOT list_contains(coalesce(years, []), y))) AS missing, coalesce(list_contains(companies, name), false) AS named FROM q LEFT JOIN p USING (id)),
+  f AS (SELECT id, evidence, array_to_string(missing, ',') AS missing_years, CASE WHEN evidence = 0 THEN 'no_evidence' WHEN NOT named THEN 'entity_mismatch' WHEN len(missing) > 0 THEN 'missing_years' END AS failure FROM m)"""
+
+
+@query(_CHECK + " SELECT id, evidence, missing_years, CASE WHEN failure IS NULL THEN 'ACCEPT' ELSE 'REJECT' END AS decision, failure FROM f")
+def tricheck(spark: SparkSession, d: str) -> DataFrame:
+    p, q = _passages(spark, d), table(spark, d, "questions")
+    return answers.checked(q, ranking.search(p, q).select("id", "ord"), p)
+
+
+@query(_CHECK + " SELECT id, CASE failure WHEN 'no_evidence' THEN 'broaden' WHEN 'entity_mismatch' THEN 'refine' ELSE 'targeted' END AS action, CASE failure WHEN 'missing_years' THEN 15 ELSE 5 END AS top_k FROM f WHERE failure IS NOT NULL")
+def retry_plan(spark: SparkSession, d: str) -> DataFrame:
+    p, q = _passages(spark, d), table(spark, d, "questions")
+    return answers.retries(answers.checked(q, ranking.search(p, q).select("id", "ord"), p))
+
+
 # ---------------------------------------------------------------- the ledger
 
 _TIDY = """once AS (SELECT ts, date, pid, lower(model) AS model, nullif(lower(caller), '?') AS caller, coalesce(total_tokens, prompt_tokens + completion_tokens) AS tokens, min(read_at) AS read_at
