@@ -24,8 +24,10 @@ STATEMENTS = {"income_statement": r"income statement|statement of operations|p&l
 
 def postings(passages: DataFrame, text: str = "content", key: str = "ord", store: str = "company") -> DataFrame:
     """store, key, token, tf, dl: one row per passage and token; null texts have no tokens."""
-    src = passages.select(F.col(store).alias("store"), F.col(key).alias("key"), T.tokens(F.col(text)).alias("toks")).where("toks IS NOT NULL")
-    return src.select("store", "key", F.size("toks").alias("dl"), F.explode("toks").alias("token")).groupBy("store", "key", "token", "dl").agg(F.count("*").alias("tf"))
+    src = passages.where(F.col(text).isNotNull()).select(F.col(store).alias("store"), F.col(key).alias("key"), T.tokens(F.col(text)).alias("toks"))
+    # an inner explode would add a filter on the tokens, and so make them once more for it
+    each = src.select("store", "key", F.size("toks").alias("dl"), F.explode_outer("toks").alias("token")).where("token IS NOT NULL")
+    return each.groupBy("store", "key", "token", "dl").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def overlap(index: Index, asked: DataFrame) -> DataFrame:
     weight = terms.join(index.stats, "store").join(index.freq, ["store", "token"], "left").select("qid", "store", "token", (F.col("qn") * idf(F.col("n"), F.coalesce("df", F.lit(0)))).alias("w"))
     wanted = terms.groupBy("store").agg(F.collect_set("token").alias("wanted"))
     low = index.passages.select(F.col("company").alias("store"), F.col("ord").alias("key"), F.lower("content").alias("low")).join(wanted, "store")
-    held = low.select("store", "key", F.explode(F.get(F.transform(F.array("low"), lambda x: F.filter("wanted", lambda t: F.contains(x, t))), 0)).alias("token"))
+    found = F.filter("wanted", lambda t: F.contains(F.col("low"), t))
+    held = low.select("store", "key", F.explode_outer(found).alias("token")).where("token IS NOT NULL")  # as above
     return held.join(weight, ["store", "token"]).groupBy("qid", "key").agg(F.sum("w").alias("overlap"))
 
 
