@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.functions import text as T
-from ledgerwright.operators import answers, facts, grading, pages, questions, ranking, tables, usage
+from ledgerwright.operators import answers, facts, grading, pages, questions, ranking, series, tables, usage
 from ledgerwright.runtime import spread, table
 
 QUERIES: dict = {}
@@ -423,6 +423,91 @@ def retry_plan(spark: SparkSession, d: str) -> DataFrame:
     return answers.retries(answers.checked(q, ranking.search(p, q).select("id", "ord"), p))
 
 
+# ---------------------------------------------------------------- series
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return facts.row_facts(_passages(spark, d))
+
+
+@query(f"WITH {_FACTS}, y AS (SELECT DISTINCT company, year FROM best) SELECT y.company, canonical, y.year, max(b.year) AS prior_year, arg_max(val, b.year) AS prior FROM y JOIN best b ON b.company = y.company AND b.year < y.year GROUP BY ALL")
+def asof_prior_balance(spark: SparkSession, d: str) -> DataFrame:
+    best = facts.best_facts(_facts(spark, d))
+    return series.prior_balances(best, best.select("company", "year").distinct())
+
+
+@query(f"""WITH {_FACTS}, g AS (SELECT company, canonical, list(val ORDER BY year) AS v, min(year) AS first_year, max(year) AS last_year FROM best GROUP BY ALL HAVING count(*) > 1), x AS (SELECT *, round(v[-1] - v[1], 4) AS delta FROM g)
+SELECT company, canonical, first_year, last_year, delta, array_to_string(list_transform(range(2, len(v) + 1), lambda i: printf('%.4f', round(v[i] - v[i - 1], 4))), ';') AS steps, CASE WHEN delta > 0 THEN 'increased' WHEN delta < 0 THEN 'decreased' ELSE 'stayed flat' END AS direction FROM x""")
+def multi_year_delta(spark: SparkSession, d: str) -> DataFrame:
+    return series.deltas(facts.best_facts(_facts(spark, d)))
+
+
+@query(f"WITH {_FACTS} SELECT company, canonical, year, val FROM best QUALIFY row_number() OVER (PARTITION BY company, canonical ORDER BY year DESC) <= 3")
+def latest_years(spark: SparkSession, d: str) -> DataFrame:
+    return series.latest(facts.best_facts(_facts(spark, d))).select("company", "canonical", "year", "val")
+
+
+@query(f"""WITH {_FACTS}, a AS (SELECT *, abs(val) AS size, max(abs(val)) OVER w AS top FROM named WINDOW w AS (PARTITION BY company, canonical, year)),
+  b AS (SELECT * REPLACE (count(*) OVER (PARTITION BY company, canonical, year, val) AS agree) FROM a WHERE size >= 0.05 * top), c AS (SELECT *, max(agree) OVER (PARTITION BY company, canonical, year) AS most FROM b),
+  e AS (SELECT * REPLACE (max(size) OVER (PARTITION BY company, canonical, year) AS top), min(size) OVER (PARTITION BY company, canonical, year) AS low FROM c WHERE agree = most),
+  f AS (SELECT * FROM e WHERE top <= 5 * low OR size = top), n AS (SELECT company, canonical, year, count(DISTINCT val)::INT AS left_over FROM f GROUP BY ALL)
+SELECT f.company, f.canonical, f.year, val, left_over AS "left" FROM f JOIN n USING (company, canonical, year) QUALIFY row_number() OVER (PARTITION BY f.company, f.canonical, f.year ORDER BY length(item), size DESC, ord) = 1""")
+def resolve_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return series.candidates(_facts(spark, d))
+
+
+@query(f"WITH {_FACTS}, g AS (SELECT company, canonical, ord, count(DISTINCT year) AS years FROM named GROUP BY ALL) SELECT * FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY company, canonical ORDER BY years DESC, ord) = 1) WHERE years > 1")
+def common_source(spark: SparkSession, d: str) -> DataFrame:
+    return series.common_sources(_facts(spark, d))
+
+
+@query(f"WITH {_WIDE} SELECT company, year, round(revenue - abs(cogs), 4) AS value, coalesce(abs(gross_profit - (revenue - abs(cogs))) <= 0.02 * abs(revenue - abs(cogs)), false) AS stated FROM wide WHERE revenue IS NOT NULL AND cogs IS NOT NULL")
+def gross_profit_derived(spark: SparkSession, d: str) -> DataFrame:
+    return series.derived_gross_profit(facts.wide_facts(_facts(spark, d)))
+
+
+_COMPOSITES = {"total_debt": ("short_term_debt", "long_term_debt"), "operating_expenses": ("selling_expenses", "sga", "rd_expense"), "liquid_assets": ("cash", "short_term_investments", "accounts_receivable")}
+
+
+@query(f"WITH {_FACTS}, m(composite, canonical) AS (VALUES {', '.join(f"('{c}', '{p}')" for c, ps in _COMPOSITES.items() for p in ps)}) SELECT company, composite, year, round(sum(val), 4) AS value, string_agg(canonical, '+' ORDER BY canonical) AS items FROM best JOIN m USING (canonical) GROUP BY company, composite, year")
+def composite_sum(spark: SparkSession, d: str) -> DataFrame:
+    return series.composites(facts.best_facts(_facts(spark, d)), _COMPOSITES)
+
+
+@query(_DECODED + """, r2 AS (SELECT parent_id, row_ix, row[1] AS item FROM dec), e AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(lower(item), '^(change|changes) in') THEN true WHEN regexp_matches(lower(item), 'net cash|cash from') THEN false END IGNORE NULLS)
+  OVER (PARTITION BY parent_id ORDER BY row_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM r2)
+SELECT parent_id, row_ix, CASE WHEN inside AND NOT regexp_matches(lower(item), '^(change|changes) in') THEN 'Change in ' || item ELSE item END AS label FROM e""")
+def change_labels(spark: SparkSession, d: str) -> DataFrame:
+    return series.change_labels(tables.decode(_passages(spark, d)).select("parent_id", "row_ix", F.get("row", F.lit(0)).alias("item")))
+
+
+@query("""WITH p AS (SELECT doc_id, filename, ordinal, date_diff('day', filed_at::DATE, uploaded_at::DATE) AS gap FROM documents d JOIN filings f USING (company) WHERE filed_at IS NOT NULL AND uploaded_at IS NOT NULL)
+SELECT doc_id, filename, gap::INT AS gap FROM p WHERE abs(gap) <= 45 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN gap >= 0 THEN gap ELSE abs(gap) + 100 END, ordinal) = 1""")
+def date_proximity(spark: SparkSession, d: str) -> DataFrame:
+    return series.nearest_filings(table(spark, d, "documents"), table(spark, d, "filings"))
+
+
+@query(f"WITH {_INDEX} SELECT store, token, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM dfreq JOIN stat USING (store)")
+def idf_table(spark: SparkSession, d: str) -> DataFrame:
+    p = spread(_passages(spark, d), "ord", "company", "content")
+    post = ranking.postings(p)
+    return ranking.document_frequency(post).join(ranking.store_stats(post, p), "store").select("store", "token", F.round(ranking.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(_LOOKUP + rf""", a AS (SELECT id, answer, {_NUM("nullif(regexp_extract(answer, '^\s*\(?\$?\s*(-?[\d,]+(?:\.\d+)?)', 1), '')")} * (CASE WHEN regexp_matches(lower(answer), 'billion|bn') THEN 1e9 WHEN regexp_matches(lower(answer), 'million') THEN 1e6 WHEN regexp_matches(lower(answer), 'thousand') THEN 1e3 ELSE 1.0 END) AS gold FROM questions)
+SELECT id, metric, year, value, gold, abs(gold - value) <= 0.01 * greatest(abs(gold), 1e-9) AS agrees FROM look JOIN a USING (id) WHERE gold IS NOT NULL""")
+def grade_numeric(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions")
+    gold = q.select("id", grading.answer_value(F.col("answer")).alias("gold")).where("gold IS NOT NULL")
+    return answers.direct_lookup(q, _passages(spark, d)).join(gold, "id").select("id", "metric", "year", "value", "gold", (F.abs(F.col("gold") - F.col("value")) <= 0.01 * F.greatest(F.abs("gold"), F.lit(1e-9))).alias("agrees"))
+
+
+@query(r"SELECT doc_name, array_to_string(list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(trim(doc_name), '\.[A-Za-z0-9]{1,4}$', ''), '[_\-]', ' ', 'g')), '\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '(20\d\d)(q[1-4])?|(10k|10q|8k)')), ' ') AS name, nullif(upper(regexp_extract(lower(doc_name), '(20\d\d(?:q[1-4])?)', 1)), '') AS filing_year FROM (SELECT DISTINCT doc_name FROM questions WHERE doc_name IS NOT NULL)")
+def company_norm(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "questions").where("doc_name IS NOT NULL").select("doc_name").distinct()
+    return n.select("doc_name", T.company_key(F.col("doc_name")).alias("name"), T.filing_year(F.col("doc_name")).alias("filing_year"))
+
+
 # ---------------------------------------------------------------- the ledger
 
 _TIDY = """once AS (SELECT ts, date, pid, lower(model) AS model, nullif(lower(caller), '?') AS caller, coalesce(total_tokens, prompt_tokens + completion_tokens) AS tokens, min(read_at) AS read_at
