@@ -494,7 +494,7 @@ def idf_table(spark: SparkSession, d: str) -> DataFrame:
     return ranking.document_frequency(post).join(ranking.store_stats(post, p), "store").select("store", "token", F.round(ranking.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-@query(_LOOKUP + rf""", a AS (SELECT id, answer, {_NUM("nullif(regexp_extract(answer, '^\s*\(?\$?\s*(-?[\d,]+(?:\.\d+)?)', 1), '')")} * (CASE WHEN regexp_matches(lower(answer), 'billion|bn') THEN 1e9 WHEN regexp_matches(lower(answer), 'million') THEN 1e6 WHEN regexp_matches(lower(answer), 'thousand') THEN 1e3 ELSE 1.0 END) AS gold FROM questions)
+@query(_LOOKUP + rf""", a AS (SELECT id, answer, {_NUM(r"nullif(regexp_extract(answer, '^\s*\(?\$?\s*(-?[\d,]+(?:\.\d+)?)', 1), '')")} * (CASE WHEN regexp_matches(lower(answer), 'billion|bn') THEN 1e9 WHEN regexp_matches(lower(answer), 'million') THEN 1e6 WHEN regexp_matches(lower(answer), 'thousand') THEN 1e3 ELSE 1.0 END) AS gold FROM questions)
 SELECT id, metric, year, value, gold, abs(gold - value) <= 0.01 * greatest(abs(gold), 1e-9) AS agrees FROM look JOIN a USING (id) WHERE gold IS NOT NULL""")
 def grade_numeric(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "questions")
