@@ -303,7 +303,7 @@ def garbled_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.garbled_passages(_passages(spark, d))
 
 
-@query("SELECT company, type, count(*) AS passages, count(DISTINCT page_number) AS pages, count(content) AS with_text, sum(length(content)) AS chars, max(length(content)) AS longest FROM passages GROUP BY ALL")
+@query("SELECT company, type, count(*) AS passages, count(DISTINCT page_number) AS pages, count(content) AS with_text, sum(length(content))::BIGINT AS chars, max(length(content)) AS longest FROM passages GROUP BY ALL")
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d).groupBy("company", "type").agg(F.count("*").alias("passages"), F.countDistinct("page_number").alias("pages"), F.count("content").alias("with_text"), F.sum(F.length("content")).alias("chars"), F.max(F.length("content")).alias("longest"))
 
@@ -349,7 +349,7 @@ def resolve_filings(spark: SparkSession, d: str) -> DataFrame:
     return questions.resolved(table(spark, d, "questions"), table(spark, d, "filings"))
 
 
-@query("""WITH n AS (SELECT company, count(*) AS found FROM passages GROUP BY ALL), f AS (SELECT company, sum(passage_count) AS stated, count(*) AS filings FROM (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY filename ORDER BY ordinal) = 1) GROUP BY ALL)
+@query("""WITH n AS (SELECT company, count(*) AS found FROM passages GROUP BY ALL), f AS (SELECT company, sum(passage_count)::BIGINT AS stated, count(*) AS filings FROM (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY filename ORDER BY ordinal) = 1) GROUP BY ALL)
 SELECT coalesce(f.company, n.company) AS company, coalesce(filings, 0) AS filings, stated, coalesce(found, 0) AS found FROM f FULL JOIN n ON n.company = f.company""")
 def registry_check(spark: SparkSession, d: str) -> DataFrame:
     first = F.row_number().over(_window("filename", "ordinal"))
