@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerwright.operators import instants, quantities
 from ledgerwright.runtime import table
@@ -21,7 +22,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.common_values(table(spark, sf_dir, "passages"))
+    v = quantities.common_values(table(spark, sf_dir, "passages"))
+    return v.select("ord", "company", F.lower("measure").alias("measure"), "fiscal_year", F.when(F.abs("value") < 1000, F.round("value", 6)).otherwise(F.round("value", 1)).alias("value"))
 
 
 P2_FOUND_SQL = r"""
@@ -59,10 +61,32 @@ u AS (
 SELECT ledger_id FROM u WHERE utc_at::DATE <> written
 """
 
+_MEASURES = "Electricity used|Selling area|Fuel burned|Dividend per share|Capital commitments|Freight carried|Fleet distance|Average borrowing rate|Customer deposits|Order backlog"
+P5_VALUES_SQL = rf"""
+WITH f(unit, factor) AS (VALUES ('kwh', 1.0::DOUBLE), ('thousand kwh', 1e3), ('mwh', 1e3), ('gwh', 1e6), ('terajoules', 1e6 / 3.6), ('square metres', 1), ('m²', 1), ('square feet', 0.09290304), ('thousands of square feet', 92.90304),
+    ('million sq ft', 92903.04), ('acres', 4046.8564224), ('hectares', 1e4), ('litres', 1), ('us gallons', 3.785411784), ('thousand gallons', 3785.411784), ('barrels', 42 * 3.785411784), ('cubic metres', 1e3), ('dollars', 1), ('us$', 1),
+    ('$', 1), ('cents', 0.01), ('us dollars', 1), ('usd thousands', 1e3), ('usd millions', 1e6), ('usd billions', 1e9), ('$m', 1e6), ('$ million', 1e6), ('$ billion', 1e9), ('us$bn', 1e9), ('usd thousand', 1e3), ('usd million', 1e6),
+    ('kilograms', 1), ('pounds', 0.45359237), ('million lbs', 453592.37), ('short tons', 907.18474), ('metric tons', 1e3), ('thousand tonnes', 1e6), ('kilometres', 1), ('thousand km', 1e3), ('miles', 1.609344),
+    ('million miles', 1609344), ('percent', 1), ('%', 1), ('basis points', 0.01)),
+p AS (SELECT ord, company, type, content, string_split(content, ' | ') AS parts FROM passages WHERE section = 'operating_data' AND content IS NOT NULL),
+t AS (SELECT ord, company, regexp_extract(content, 'Line Item: ({_MEASURES})', 1) AS measure, unnest(parts) AS part,
+    coalesce(nullif(regexp_extract(content, 'Line Item: [^|(]+\(([^)]+)\)', 1), ''), nullif(regexp_extract(content, 'Unit: ([^|]+)', 1), ''), regexp_extract(content, 'Operating data \((?:in )?([^)]+)\)', 1)) AS around
+  FROM p WHERE type = 'table_row'),
+c AS (SELECT ord, company, measure, regexp_extract(part, '^(?:FY|Fiscal )?((?:19|20)\d\d): ', 1) AS y, regexp_replace(part, '^[^:]*: ', '') AS cell, around FROM t WHERE regexp_matches(part, '^(?:FY|Fiscal )?(?:19|20)\d\d: ')),
+n AS (SELECT ord, company, unnest(string_split(regexp_replace(regexp_extract(content, 'Content: (.*)', 1, 's'), '([.;!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM p WHERE type <> 'table_row'),
+v AS (SELECT ord, company, regexp_extract(s, '(?i)({_MEASURES})', 1) AS measure, regexp_extract(s, '(?:FY|fiscal |for |end of )((?:19|20)\d\d)', 1) AS y, NULL AS around,
+    regexp_extract(s, '(?i)(?:gives|was|amounted to|came to|(?:{_MEASURES}) of) (.*?)(?: as the |, according|, which|; |\.?$)', 1) AS cell FROM n WHERE regexp_matches(s, '(?i){_MEASURES}')),
+a AS (SELECT ord, company, lower(measure) AS measure, y::INT AS fiscal_year, TRY_CAST(replace(regexp_extract(cell, '([\d,]*\.?\d+)', 1), ',', '') AS DOUBLE) AS x,
+    coalesce(nullif(lower(trim(regexp_replace(regexp_replace(cell, '[\d,]*\.?\d+', ''), '\s+', ' ', 'g'))), ''), lower(trim(around))) AS unit FROM (SELECT * FROM c UNION ALL BY NAME SELECT * FROM v) WHERE y <> '' AND measure <> '')
+SELECT ord, company, measure, fiscal_year, CASE WHEN abs(x * factor) < 1000 THEN round(x * factor, 6) ELSE round(x * factor, 1) END AS value FROM a JOIN f USING (unit) WHERE x IS NOT NULL"""
+P5_FOUND_SQL = f"""WITH x AS ({P5_VALUES_SQL})
+SELECT DISTINCT a.ord AS ord_a, b.ord AS ord_b FROM x a JOIN x b ON a.company = b.company AND a.measure = b.measure AND a.fiscal_year = b.fiscal_year AND a.ord < b.ord
+WHERE abs(a.value - b.value) > 0.02 * greatest(abs(a.value), abs(b.value))"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_instants, p5_found, p5_values)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_values": P5_VALUES_SQL}
