@@ -60,5 +60,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p4_found, p4_pieces, p6_containers, p6_fill, p7_found, p8_found, p8_masked)}
 
 
+def _look_sql() -> str:
+    """The canonical form in SQL, for texts whose words are each of one look (no words of other alphabets)."""
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    one = wide | canonical.LOOKALIKES | {chr(c): " " for c in (0xA0, 0x202F, 0x3000, *range(0x2000, 0x200B))} | {"\u2010": "-", "\u2011": "-"}
+    t = "replace(content, chr(173) || chr(10), '-' || chr(10))"
+    t = f"regexp_replace({t}, '[{canonical.INVISIBLE}]', '', 'g')"
+    for joined, parts in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬆ", "st"), ("ﬅ", "st")):
+        t = f"replace({t}, '{joined}', '{parts}')"
+    source, target = ("".join(x).replace("'", "''") for x in zip(*one.items()))
+    return f"nfc_normalize(translate({t}, '{source}', '{target}'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": "SELECT ord FROM passages WHERE length(content) > 3000"}
+    look = _look_sql()
+    return {
+        "p1_canonical": f"SELECT ord, content, {look} AS canonical FROM passages",
+        "p1_found": f"WITH c AS (SELECT ord, content, {look} AS look FROM passages) SELECT a.ord AS ord_a, b.ord AS ord_b FROM c a JOIN c b ON a.look = b.look AND a.ord < b.ord AND a.content <> b.content",
+        "p4_found": "SELECT ord FROM passages WHERE length(content) > 3000",
+    }
