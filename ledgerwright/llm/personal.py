@@ -138,20 +138,26 @@ _INITIAL = r"(?:[A-ZÀ-ÖØ-Þ]\.)"
 _B = r"(?:[ \t ]?\n[ \t]?|[ \t ])"
 _GIVEN = rf"(?:(?!{_TITLE}[ \n]){_PART}(?:-{_PART})?|{_INITIAL})"
 _FULL = rf"(?:{_GIVEN}(?:{_B}{_INITIAL}){{0,2}}{_B}{_SUR})"
+# the same in capitals
+_UP = r"(?:[A-ZÀ-ÖØ-ÞŁŽŠ][A-ZÀ-ÖØ-ÞŁŽŠ'’]+)"
+_UP_SUR = rf"(?:(?:(?:VAN|VON|DE|DER|DEN|DI|DA|DEL|LA|LE)\s){{0,2}}(?:[DO]['’])?{_UP}(?:-{_UP})*)"
+_UP_FULL = rf"(?:(?:{_UP}(?:-{_UP})?|{_INITIAL})(?:{_B}{_INITIAL}){{0,2}}{_B}{_UP_SUR})"
 _ROLE = r"(?:(?:Vice\s)?(?:President|Chair(?:man|woman|person)?)|Chief|Corporate|Treasurer|Controller|Secretary|General\sCounsel|Director|Head|Senior|Executive|Managing|(?:reviewing\s)?analyst|auditor|partner|counsel|manager|esq)"
 _NAMES = (
     # after a title, also a surname alone
     re.compile(rf"(?<![\w.]){_TITLE}{_B}(?P<n>(?:{_GIVEN}(?:{_B}{_INITIAL}){{0,2}}{_B})?{_SUR})"),
     re.compile(rf"(?<=,)\s*M\.{_B}(?P<n>(?:{_GIVEN}{_B})?{_SUR})(?=\s*,)"),
     # after a signature mark
-    re.compile(rf"/s/{_S}(?P<n>{_FULL}|{_SUR})"),
+    re.compile(rf"/s/{_S}(?P<n>{_FULL}|{_UP_FULL}|{_UP_SUR}|{_SUR})"),
+    re.compile(rf"(?<![\w.])(?:MR|MRS|MS|DR|PROF|HERR|FRAU)\.?{_B}(?P<n>{_UP_FULL}|{_UP_SUR})(?![\w])"),
     # after words that call for a person
     re.compile(rf"\b(?:presence{_B}of|mailed{_B}to|sent{_B}to|questions(?:{_B}[a-z]+){{0,4}}{_B}to|indemnity{_B}names|names|reviewer|grantee,?|signed{_B}by|prepared{_B}by|attention{_B}of|Attn:?|contact|speak{_B}to|écrire{_B}à|s['’]adresser{_B}à|llame{_B}a|dirigirse{_B}a|Ansprechpartner(?:in)?:?|wenden{_B}Sie{_B}sich{_B}an)[ \n](?P<n>{_FULL})"),
     # before a role, a document number or a way to be reached
     re.compile(rf"(?<![\w&'’.\-])(?P<n>{_FULL})(?=,{_S}{_ROLE}\b|{_S}\((?:SSN|soc|pass|NI\b|nat|driv))"),
 )
-_SPEAKER = re.compile(rf"(?<![\w&'’.\-])(?P<n>{_FULL})(?=:{_B})")
+_SPEAKER = re.compile(rf"(?<![\w&'’.\-])(?P<n>{_FULL}|{_UP_FULL})(?=:{_B})")
 _PAIR = re.compile(rf"(?<![\w&'’\-])(?P<g>{_PART}(?:-{_PART})?)(?:{_B}{_INITIAL}){{0,2}}{_B}(?P<s>{_SUR})(?![\w'’&])")
+_UP_PAIR = re.compile(rf"(?<![\w&'’\-])(?P<g>{_UP}(?:-{_UP})?|{_INITIAL})(?:{_B}{_INITIAL}){{0,2}}{_B}(?P<s>{_UP_SUR})(?![\w'’&])")
 _INVERTED = re.compile(rf"(?<![\w&'’\-])(?P<s>{_SUR}),{_S}(?P<g>{_PART}(?:-{_PART})?)(?![\w'’&])")
 _FIRM = re.compile(rf"(?:\s*(?:,\s*{_PART}\s*)*(?:&|and|und|et|y)\s+{_SUR})?,?\s+(?:LLP|LLC|LP|Inc|Corp|Corporation|Company|Co|Ltd|Limited|PLC|plc|GmbH|AG|SA|S\.A\.|KG|Holdings|Group|Industries|Associates|Partners|Brothers|Bank)\b|\s*&\s")
 
@@ -172,12 +178,15 @@ def _name_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
                 out.append(m.span("n"))
     for m in _SPEAKER.finditer(text):
         words = re.split(r"\s+", m["n"])
-        if lexicon.sur and _surname(words) in lexicon.sur and (words[0] in lexicon.given or words[0].endswith(".")):
+        if lexicon.sur and _surname(words) in lexicon.sur and (_plain(words[0]) in lexicon.given or words[0].endswith(".")):
             out.append(m.span("n"))
     if lexicon.given:
         for m in _INVERTED.finditer(text):
             if m["g"] in lexicon.given and _surname(m["s"].split()) in lexicon.sur and not any(a <= m.start() < b and a < m.start("s") for a, b in out):
                 out = [x for x in out if not m.start() <= x[0] < m.end()] + [m.span()]
+        for m in _UP_PAIR.finditer(text):
+            if _plain(m["g"]) in lexicon.given and _surname(m["s"].split()) in lexicon.sur and not _FIRM.match(text, m.end("s")):
+                out.append(m.span())
         at = 0
         while m := _PAIR.search(text, at):
             at = m.end("g")
@@ -189,7 +198,12 @@ def _name_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
 
 def _surname(words: list[str]) -> str:
     """The key of a surname: its last word, without an elided article."""
-    return re.sub(r"^[dDO]['’]", "", words[-1])
+    return _plain(re.sub(r"^[dDO]['’]", "", words[-1]))
+
+
+def _plain(word: str) -> str:
+    """A name in capitals as it is written otherwise."""
+    return "-".join(p.capitalize() for p in word.split("-")) if len(word) > 1 and word.isupper() else word
 
 
 def mentions(text: str, lexicon: Lexicon = NONE) -> list[tuple[int, int, str, str]]:
@@ -258,8 +272,8 @@ def learn(df: DataFrame, text: str = "text") -> Lexicon:
                     words = re.split(r"\s+", t[a:b])
                     if len(words) > 1:
                         counts["s", _surname(words)] += 1
-                        if not words[0].endswith("."):
-                            counts["g", words[0]] += 1
+                        if words[0][:1].isupper() and not words[0].endswith("."):
+                            counts["g", _plain(words[0])] += 1
         yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "word", "n"])
 
     seen = df.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))

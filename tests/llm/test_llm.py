@@ -210,6 +210,7 @@ MENTIONS = [
     ("The indemnity names Lucan Wexcombe (SSN 955429136, 753 North Gantry St., Dunmere, CO 00711) as beneficiary.", [("name", "Lucan Wexcombe"), ("id_number", "955429136"), ("address", "753 North Gantry St., Dunmere, CO 00711")]),
     ("The grantee (driver's licence Y-350-1908-20) and (NI number QQ 48 17 86 C), passport no. Q30871403, soc. sec. 923 31 2739.", [("id_number", "Y-350-1908-20"), ("id_number", "QQ 48 17 86 C"), ("id_number", "Q30871403"), ("id_number", "923 31 2739")]),
     ("Copies were mailed to Juno Drosthoff, P.O. Box 7267, Sable Point, WA 00241.", [("name", "Juno Drosthoff"), ("address", "P.O. Box 7267, Sable Point, WA 00241")]),
+    ("By: /s/ BRAM LYSANDER-POE The indemnity. By: /s/ JUNO D'ORVIGNY\nDR. QUORBY of NORVANE FOODS", [("name", "BRAM LYSANDER-POE"), ("name", "JUNO D'ORVIGNY"), ("name", "QUORBY")]),
     ("Mr. Yarrowick replied. By: /s/ Orla L. Nackerby", [("name", "Yarrowick"), ("name", "Orla L. Nackerby")]),
     ("Bezdrik & Estrevane LLP served as counsel. The Quillet Lane store reopened. The Quill Lake project and the Marit Valley lease.", []),
     ("Ansprechpartner: Frau Bram Quorby, Tel. +49 30 23125 850, Drosselweg 21, 00553 Neuenfels. During 2016 it rose.", [("name", "Bram Quorby"), ("phone", "+49 30 23125 850"), ("address", "Drosselweg 21, 00553 Neuenfels")]),
@@ -251,9 +252,9 @@ def test_masking(spark):
 
 
 def test_lexicon_finds_names_without_a_cue(spark):
-    df = spark.createDataFrame([(i, "Copies were mailed to Juno Drosthoff, and so on.") for i in range(3)] + [(9, "Juno Drosthoff: Could you say more? Then Drosthoff, Juno: Yes. Operator: Good morning. Net Sales: 5.")], "doc_id long, text string")
+    df = spark.createDataFrame([(i, "Copies were mailed to Juno Drosthoff, and so on.") for i in range(3)] + [(9, "Juno Drosthoff: Could you say more? Then Drosthoff, Juno: Yes. Operator: Good morning. Net Sales: 5."), (10, "TOTAL NET SALES: 4. JUNO DROSTHOFF: Could you? JUNO FOODS")], "doc_id long, text string")
     got = {(r.doc_id, r.start_at) for r in personal.found_mentions(df).collect()}
-    assert got == {(0, 22), (1, 22), (2, 22), (9, 0), (9, 41)}
+    assert got == {(0, 22), (1, 22), (2, 22), (9, 0), (9, 41), (10, 20)}
 
 
 def test_unicode_data_backs_the_quick_check():
