@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.functions import text as T
-from ledgerwright.operators import answers, facts, grading, pages, questions, ranking, series, tables, usage
+from ledgerwright.operators import answers, evidence, facts, grading, pages, questions, ranking, series, tables, usage
 from ledgerwright.runtime import spread, table
 
 QUERIES: dict = {}
@@ -508,6 +508,44 @@ def company_norm(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_name", T.company_key(F.col("doc_name")).alias("name"), T.filing_year(F.col("doc_name")).alias("filing_year"))
 
 
+# ---------------------------------------------------------------- evidence
+
+
+@query(f"SELECT id, ord, CASE WHEN length(content) > 120 THEN substr(content, 1, 120) || '...' ELSE content END AS snippet FROM ({_search_sql(5)}) JOIN (SELECT ord, content FROM passages) USING (ord)")
+def evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
+    p = _passages(spark, d)
+    return ranking.search(p, table(spark, d, "questions")).select("id", "ord").join(p.select("ord", "content"), "ord").select("id", "ord", evidence.snippet(F.col("content")).alias("snippet"))
+
+
+@query("SELECT ord, CASE WHEN length(parent_content) <= 400 THEN parent_content ELSE substr(parent_content, greatest(1, least(instr(parent_content, line_item) - 200, length(parent_content) - 399)), 400) END AS shown FROM passages WHERE parent_content IS NOT NULL AND line_item IS NOT NULL")
+def page_windows(spark: SparkSession, d: str) -> DataFrame:
+    p = _passages(spark, d).where("parent_content IS NOT NULL AND line_item IS NOT NULL")
+    return p.select("ord", evidence.page_window(F.col("parent_content"), F.col("line_item")).alias("shown"))
+
+
+@query(_DECODED + f""", v AS (SELECT parent_id, row_ix, list_filter(list_transform(row[2:], lambda c: {_NUM("c")}), lambda x: x IS NOT NULL) AS v FROM dec)
+SELECT parent_id, row_ix FROM v WHERE len(v) >= 5 AND abs(v[1] + v[2] + v[3] + v[4] - v[5]) <= 0.02 * abs(v[5])""")
+def quarter_sum_check(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.quarterly_rows(tables.decode(_passages(spark, d)))
+
+
+@query(r"""WITH p AS (SELECT company, unnest(regexp_extract_all(text, 'year ended ([A-Z][a-z]+) (20\d\d)', 1)) AS month, unnest(regexp_extract_all(text, 'year ended ([A-Z][a-z]+) (20\d\d)', 2)) AS y FROM documents WHERE text IS NOT NULL AND company IS NOT NULL),
+  g AS (SELECT company, month, count(*) AS mentions, min(y) AS first_year, max(y) AS last_year FROM p GROUP BY ALL) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY company ORDER BY mentions DESC, month) = 1""")
+def filing_periods(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.fiscal_ends(table(spark, d, "documents"))
+
+
+@query(f"SELECT ord, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct FROM (SELECT ord, {_tokens('content')} AS toks FROM passages WHERE content IS NOT NULL)")
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = _passages(spark, d).where("content IS NOT NULL").select("ord", T.tokens(F.col("content")).alias("t"))
+    return p.select("ord", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({_YEARS('text')})), ',') AS years FROM documents WHERE text IS NOT NULL")
+def year_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(T.years(F.col("text")), ",").alias("years"))
+
+
 # ---------------------------------------------------------------- the ledger
 
 _TIDY = """once AS (SELECT ts, date, pid, lower(model) AS model, nullif(lower(caller), '?') AS caller, coalesce(total_tokens, prompt_tokens + completion_tokens) AS tokens, min(read_at) AS read_at
