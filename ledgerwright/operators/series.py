@@ -71,14 +71,14 @@ def composites(best: DataFrame, parts: dict[str, tuple[str, ...]]) -> DataFrame:
 
 
 def change_labels(long: DataFrame) -> DataFrame:
-    """parent_id, row_ix, label: labels of decoded rows, prefixed while a table is inside its section of changes in working capital.
+    """parent_id, digest, row_ix, label: labels of decoded rows, prefixed while a table is inside its section of changes in working capital.
 
     The section begins at a row named like it and ends at a net cash row: the last such event before a row decides.
     """
     event = F.when(F.lower("item").rlike("^(change|changes) in"), True).when(F.lower("item").rlike("net cash|cash from"), False)
-    inside = F.last(event, ignorenulls=True).over(W.partitionBy("parent_id").orderBy("row_ix").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.last(event, ignorenulls=True).over(W.partitionBy("parent_id", "digest").orderBy("row_ix").rowsBetween(W.unboundedPreceding, 0))
     bare = ~F.lower("item").rlike("^(change|changes) in")
-    return long.select("parent_id", "row_ix", F.when(F.coalesce(inside, F.lit(False)) & bare, F.concat(F.lit("Change in "), F.col("item"))).otherwise(F.col("item")).alias("label"))
+    return long.select("parent_id", "digest", "row_ix", F.when(F.coalesce(inside, F.lit(False)) & bare, F.concat(F.lit("Change in "), F.col("item"))).otherwise(F.col("item")).alias("label"))
 
 
 def nearest_filings(documents: DataFrame, filings: DataFrame, days: int = 45) -> DataFrame:

@@ -30,10 +30,13 @@ def table_lines(text: Column) -> Column:
 
 
 def decode(df: DataFrame, text: str = "parent_content", key: str = "parent_id") -> DataFrame:
-    """key, headers, row_ix, row: the rows of the first Markdown table of each distinct text; parents are decoded once."""
-    src = df.where(F.col(text).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
-    lines = src.select("key", F.transform(table_lines(F.col("text")), cells).alias("rows"), F.exists(table_lines(F.col("text")), is_separator).alias("ok"))
-    body = lines.where("ok AND size(rows) >= 3").select("key", F.get("rows", 0).alias("headers"), F.posexplode(F.expr("slice(rows, 3, size(rows) - 2)")).alias("row_ix", "row"))
+    """key, digest, headers, row_ix, row: the rows of the first Markdown table of each distinct text; parents are decoded once.
+
+    A key may stand for several texts (parent_id repeats across filings): key and digest of the text tell the tables apart.
+    """
+    src = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
+    lines = src.select("key", F.md5("text").alias("digest"), F.transform(table_lines(F.col("text")), cells).alias("rows"), F.exists(table_lines(F.col("text")), is_separator).alias("ok"))
+    body = lines.where("ok AND size(rows) >= 3").select("key", "digest", F.get("rows", 0).alias("headers"), F.posexplode(F.expr("slice(rows, 3, size(rows) - 2)")).alias("row_ix", "row"))
     return body.withColumnRenamed("key", key)
 
 
@@ -55,15 +58,15 @@ def linearised(headers: Column, row: Column, company: Column) -> Column:
 
 
 def unpivot(decoded: DataFrame, key: str = "parent_id") -> DataFrame:
-    """key, row_ix, item, year, val: the long form of decoded tables; captions that are no year and cells that are no number are left out."""
-    cell = decoded.select(key, "row_ix", F.get("row", 0).alias("item"), F.explode(F.arrays_zip(F.col("headers").alias("h"), F.col("row").alias("c"))).alias("p"))
-    return cell.select(key, "row_ix", "item", T.year_label(F.col("p.h")).alias("year"), T.number(F.col("p.c")).alias("val")).where("year IS NOT NULL AND val IS NOT NULL")
+    """key, digest, row_ix, item, year, val: the long form of decoded tables; captions that are no year and cells that are no number are left out."""
+    cell = decoded.select(key, "digest", "row_ix", F.get("row", 0).alias("item"), F.explode(F.arrays_zip(F.col("headers").alias("h"), F.col("row").alias("c"))).alias("p"))
+    return cell.select(key, "digest", "row_ix", "item", T.year_label(F.col("p.h")).alias("year"), T.number(F.col("p.c")).alias("val")).where("year IS NOT NULL AND val IS NOT NULL")
 
 
 def duplicate_suffixes(long: DataFrame, key: str = "parent_id") -> DataFrame:
     """Adds `dup`: 0 for the first value a label has in a year of a table, 1 for the second that differs, and so on."""
-    first = F.min("row_ix").over(W.partitionBy(key, "item", "year", "val"))
-    return long.withColumn("first", first).withColumn("dup", F.dense_rank().over(W.partitionBy(key, "item", "year").orderBy("first")) - 1).drop("first")
+    first = F.min("row_ix").over(W.partitionBy(key, "digest", "item", "year", "val"))
+    return long.withColumn("first", first).withColumn("dup", F.dense_rank().over(W.partitionBy(key, "digest", "item", "year").orderBy("first")) - 1).drop("first")
 
 
 def blocks(df: DataFrame, text: str = "content", key: str = "ord") -> DataFrame:

@@ -231,7 +231,7 @@ def markdown_decode(spark: SparkSession, d: str) -> DataFrame:
 @query(_DECODED + """, g AS (SELECT parent_id, any_value(headers) AS h, list(row ORDER BY row_ix) AS rows FROM dec GROUP BY parent_id)
 SELECT parent_id, '| ' || array_to_string(h, ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(h)) || chr(10) || array_to_string(list_transform(list_filter(rows, lambda r: array_to_string(r, '') <> ''), lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS markdown FROM g""")
 def markdown_encode(spark: SparkSession, d: str) -> DataFrame:
-    x = tables.decode(_passages(spark, d)).groupBy("parent_id").agg(F.first("headers").alias("h"), F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "row"))), lambda r: r["row"]).alias("rows"))
+    x = tables.decode(_passages(spark, d)).groupBy("parent_id", "digest").agg(F.first("headers").alias("h"), F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "row"))), lambda r: r["row"]).alias("rows"))
     return x.select("parent_id", tables.encode(F.col("h"), F.col("rows")).alias("markdown"))
 
 
@@ -241,13 +241,13 @@ _UNPIVOT = _DECODED + f""", c AS (SELECT parent_id, row_ix, row[1] AS item, unne
 
 @query(_UNPIVOT + " SELECT * FROM long WHERE year IS NOT NULL AND val IS NOT NULL")
 def unpivot_facts(spark: SparkSession, d: str) -> DataFrame:
-    return tables.unpivot(tables.decode(_passages(spark, d)))
+    return tables.unpivot(tables.decode(_passages(spark, d))).drop("digest")
 
 
 @query(_UNPIVOT + """, f AS (SELECT *, min(row_ix) OVER (PARTITION BY parent_id, item, year, val) AS first FROM long WHERE year IS NOT NULL AND val IS NOT NULL)
 SELECT parent_id, row_ix, item, year, val, dense_rank() OVER (PARTITION BY parent_id, item, year ORDER BY first) - 1 AS dup FROM f""")
 def duplicate_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    return tables.duplicate_suffixes(tables.unpivot(tables.decode(_passages(spark, d))))
+    return tables.duplicate_suffixes(tables.unpivot(tables.decode(_passages(spark, d)))).drop("digest")
 
 
 @query(_DECODED + ", co AS (SELECT parent_id, min(company) AS company FROM passages GROUP BY ALL) SELECT parent_id, row_ix, 'Company: ' || company || ' | Line Item: ' || row[1] || CASE WHEN len(list_filter(row[2:], lambda x: x <> '')) > 0 THEN ' | ' ELSE ' | ' END || array_to_string(list_filter(list_transform(range(2, len(row) + 1), lambda i: CASE WHEN row[i] <> '' THEN headers[i] || ': ' || row[i] END), lambda x: x IS NOT NULL), ' | ') AS line FROM dec JOIN co USING (parent_id) WHERE len(headers) = len(row) AND row[1] <> ''")
@@ -478,7 +478,7 @@ def composite_sum(spark: SparkSession, d: str) -> DataFrame:
   OVER (PARTITION BY parent_id ORDER BY row_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM r2)
 SELECT parent_id, row_ix, CASE WHEN inside AND NOT regexp_matches(lower(item), '^(change|changes) in') THEN 'Change in ' || item ELSE item END AS label FROM e""")
 def change_labels(spark: SparkSession, d: str) -> DataFrame:
-    return series.change_labels(tables.decode(_passages(spark, d)).select("parent_id", "row_ix", F.get("row", F.lit(0)).alias("item")))
+    return series.change_labels(tables.decode(_passages(spark, d)).select("parent_id", "digest", "row_ix", F.get("row", F.lit(0)).alias("item"))).drop("digest")
 
 
 @query("""WITH p AS (SELECT doc_id, filename, ordinal, date_diff('day', filed_at::DATE, uploaded_at::DATE) AS gap FROM documents d JOIN filings f USING (company) WHERE filed_at IS NOT NULL AND uploaded_at IS NOT NULL)
@@ -526,7 +526,7 @@ def page_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(_DECODED + f""", v AS (SELECT parent_id, row_ix, list_filter(list_transform(row[2:], lambda c: {_NUM("c")}), lambda x: x IS NOT NULL) AS v FROM dec)
 SELECT parent_id, row_ix FROM v WHERE len(v) >= 5 AND abs(v[1] + v[2] + v[3] + v[4] - v[5]) <= 0.02 * abs(v[5])""")
 def quarter_sum_check(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.quarterly_rows(tables.decode(_passages(spark, d)))
+    return evidence.quarterly_rows(tables.decode(_passages(spark, d))).drop("digest")
 
 
 @query(r"""WITH p AS (SELECT company, unnest(regexp_extract_all(text, 'year ended ([A-Z][a-z]+) (20\d\d)', 1)) AS month, unnest(regexp_extract_all(text, 'year ended ([A-Z][a-z]+) (20\d\d)', 2)) AS y FROM documents WHERE text IS NOT NULL AND company IS NOT NULL),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright.api import Engine
 from ledgerwright.functions import text as T
-from ledgerwright.operators import answers, facts, grading, pages, questions, ranking, tables, usage
+from ledgerwright.operators import answers, evidence, facts, grading, pages, questions, ranking, series, tables, usage
 from ledgerwright.plans import catalogue
 from ledgerwright.sources import readers
 from ledgerwright.streaming import ledger
@@ -106,6 +106,19 @@ def test_tables(spark):
     assert one(spark, tables.html_tables(F.col("t")), t="<table><tr><th colspan=2>a</th></tr><tr><td>1&amp;2</td><td><b>3</b></td></tr></table>") == "| a | a |\n| 1&2 | 3 |"
 
 
+def test_every_table_of_a_parent(spark):
+    """Two filings of a company have the same parent_id: both tables are decoded, each for itself."""
+    one_, two = (f"| Item | Q1 | Q2 | Q3 | Q4 | 2023 |\n|---|---|---|---|---|---|\n| {a} | 1 | 1 | 1 | 1 | {v} |\n| Stock | 1 | 2 | 3 | 4 | 10 |" for a, v in (("Change in stock", 4), ("Net cash", 7)))
+    df = spark.createDataFrame([("p", one_), ("p", two), ("p", two), ("q", two)], "parent_id string, parent_content string")
+    dec = tables.decode(df)
+    assert sorted((r.parent_id, r.row_ix, r.row[0]) for r in dec.collect()) == [("p", 0, "Change in stock"), ("p", 0, "Net cash"), ("p", 1, "Stock"), ("p", 1, "Stock"), ("q", 0, "Net cash"), ("q", 1, "Stock")]
+    long = tables.duplicate_suffixes(tables.unpivot(dec))
+    assert sorted((r.parent_id, r.item, r.val, r.dup) for r in long.collect()) == [("p", "Change in stock", 4.0, 0), ("p", "Net cash", 7.0, 0), ("p", "Stock", 10.0, 0), ("p", "Stock", 10.0, 0), ("q", "Net cash", 7.0, 0), ("q", "Stock", 10.0, 0)]
+    labels = series.change_labels(dec.select("parent_id", "digest", "row_ix", F.get("row", F.lit(0)).alias("item")))
+    assert sorted(r.label for r in labels.where("parent_id = 'p'").collect()) == ["Change in Stock", "Change in stock", "Net cash", "Stock"]
+    assert sorted((r.parent_id, r.row_ix) for r in evidence.quarterly_rows(dec).collect()) == [("p", 0), ("p", 1), ("p", 1), ("q", 1)]
+
+
 def test_pages(spark):
     bad = lambda t: one(spark, pages.is_malformed_label(F.col("t")), t=t)
     assert bad("89,463") and bad("$") and not bad("Revenues") and not bad("2027") and not bad("2031-2035")
