@@ -166,14 +166,16 @@ def same_look_pairs(df: DataFrame, text: str = "content", key: str = "ord") -> D
 
     Rows meet on a 128-bit digest of the canonical form, so no text is shuffled. Looks written in only one way are
     removed before any pair is made: the rows of a look are first reduced to its spellings (map-side), so exact copies
-    alone never meet, and pairs are made between spellings of a look, never within one. Nulls pair with nothing;
-    empty tables give an empty table; a key that repeats gives its pairs once.
+    alone never meet. Pairs are made of the distinct spellings of a look first, then of the rows of the two spellings,
+    so rows of one spelling never meet, however many they are. Nulls pair with nothing; empty tables give an empty table; a key that repeats gives its pairs once.
     """
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & F.col("k").isNotNull())
     rows = src.select("k", F.unhex(F.md5(F.encode(canonical(F.col("t")), "UTF-8"))).alias("look"), F.unhex(F.md5(F.encode("t", "UTF-8"))).alias("spelling"))
     rows = cut(rows)  # read twice below: the texts are canonicalised once
     several = rows.groupBy("look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("look")
     held = rows.join(several, "look", "left_semi")
-    a, b = (held.select(F.col("k").alias(f"k_{x}"), "look", F.col("spelling").alias(f"s_{x}")) for x in "ab")
-    pairs = a.join(b, "look").where("k_a < k_b AND s_a <> s_b")
-    return pairs.select(F.col("k_a").alias(f"{key}_a"), F.col("k_b").alias(f"{key}_b"))
+    spelled = held.select("look", "spelling").distinct()
+    meet = spelled.withColumnRenamed("spelling", "s_a").join(spelled.withColumnRenamed("spelling", "s_b"), "look").where("s_a < s_b")
+    a, b = (held.select("look", F.col("spelling").alias(f"s_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    pairs = meet.join(a, ["look", "s_a"]).join(b, ["look", "s_b"]).where("k_a <> k_b")
+    return pairs.select(F.least("k_a", "k_b").alias(f"{key}_a"), F.greatest("k_a", "k_b").alias(f"{key}_b"))

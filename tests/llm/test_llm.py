@@ -1,6 +1,7 @@
 """The operators for training text: literal cases, round trips, brute force and invariants."""
 
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -47,6 +48,16 @@ def test_canonical_over_a_table(spark):
     assert canonical.same_look_pairs(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_spelling_never_meet(spark):
+    """A look with many rows in one spelling and one row in another: the joins bring no more rows together than there are pairs."""
+    df = spark.range(3000).selectExpr("id AS ord", "IF(id = 1000, 'étude', 'e\u0301tude') AS content")
+    pairs = canonical.same_look_pairs(df)
+    assert {tuple(r) for r in pairs.collect()} == {(min(i, 1000), max(i, 1000)) for i in range(3000) if i != 1000}
+    joins = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "k_a" in x and "k_b" in x]
+    rows_meet = [x for x in joins if not re.search(r"(?<!NOT )\(s_b#\d+ = s_b#\d+\)", x)]
+    assert joins and not rows_meet
+
+
 # ---------------------------------------------------------------- p4
 
 
