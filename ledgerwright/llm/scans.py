@@ -1,7 +1,7 @@
 """Noise in text from scanned pages: broken words, misread characters, running headers and page numbers.
 
 Method: a noisy channel. One pass over all notes counts words, word pairs and line shapes. What is frequent by share
-(at most 1/share entries, however large the corpus) makes the language model and the list of running headers; words
+(at most 1/share entries, however large the corpus) makes the language model and the list of running headers; shapes frequent within a filing are its own headers; words
 whose rarity is explained by a frequent word and a confusion of characters are taken out of the model. A second pass
 repairs each page: header and page-number lines are lifted out, words broken over line ends are joined, and Viterbi
 decodes the words that aren't safe over their candidates, channel probability times pair likelihood.
@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.canonical import canonical
-from ledgerwright.runtime import cut
+from ledgerwright.runtime import broadcast_if_small, cut
 
 #: Words and word pairs below this share of all are outside the model: it has at most 1/SHARE entries of each.
 SHARE = 4e-6
 #: A line shape is a running header if this share of the pages with several lines has it, and at least LEAST_PAGES have.
 HEADER_SHARE, LEAST_PAGES = 0.002, 3
+#: A rarer shape is a running header of a filing if this share of that filing's pages with several lines has it, and at least LEAST_PAGES have.
+FILING_SHARE = 0.2
 #: A word this many times rarer than the word it would be a misreading of isn't a word of its own.
 RATIO = 40.0
 KINDS = ("hyphen", "misread", "header", "page_no")
@@ -110,15 +112,18 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(rows, columns=["kind", "item", "n"])
 
     for batch in batches:
-        for text, company in zip(batch["t"], batch["company"]):
+        for text, company, filing in zip(batch["t"], batch["company"], batch["filing"]):
             body = _body(text)[1]
             several = "\n" in body
             if several:
                 counts["p", ""] += 1
+                if company:
+                    counts["fp", filing] += 1
                 lines = [x for x in body.split("\n") if x.strip()]
                 # a line that begins a sentence which the next line continues is text, whatever its shape
                 for shape in {s for a, x, b in zip([".", *lines], lines, [*lines[1:], ""]) if (s := _shape(x, company or "")) and not (_END.search(a) and b[:1].islower())}:
                     counts["h", shape] += 1
+                    counts["fh", f"{filing}\x1f{shape}"] += 1
             low = body.lower()
             for line in low.split("\n") if several else (low,):
                 words = _WORD.findall(line)
@@ -252,8 +257,8 @@ def _between(text: str, a: re.Match, b: re.Match) -> bool:
     return bool(text[a.end() : b.start()].strip())
 
 
-def repair(body: str, company: str, model: Model) -> tuple[str, list[str]]:
-    """(continuous text, kinds of noise) of one page text. Text without noise that isn't wrapped comes out unchanged."""
+def repair(body: str, company: str, model: Model, own: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
+    """(continuous text, kinds of noise) of one page text; `own` are header shapes of its filing alone. Text without noise that isn't wrapped comes out unchanged."""
     kinds: set[str] = set()
     lines = body.split("\n")
     kept: list[str] = []
@@ -263,7 +268,7 @@ def repair(body: str, company: str, model: Model) -> tuple[str, list[str]]:
             if bare and _PAGE.fullmatch(bare):
                 kinds.add("page_no")
                 continue
-            if (shape := _shape(line, company)) is not None and shape in model.headers:
+            if (shape := _shape(line, company)) is not None and (shape in model.headers or shape in own):
                 kinds.add("header")
                 if _BESIDE.search(line.strip()):
                     kinds.add("page_no")
@@ -312,22 +317,32 @@ def repair(body: str, company: str, model: Model) -> tuple[str, list[str]]:
 
 def _notes(df: DataFrame, text: str, key: str, company: str, kind: str, wanted: str) -> DataFrame:
     src = df.where(F.col(kind) == wanted).select(F.col(key).alias("k"), F.col(company).alias("company"), F.col(text).alias("t")).where("t IS NOT NULL")
-    return src.select("k", "company", canonical(F.col("t")).alias("t"))
+    notes = src.select("k", "company", canonical(F.col("t")).alias("t"))
+    head = F.when(F.contains("t", F.lit("Content: ")), F.substring_index("t", "Content: ", 1)).otherwise("")
+    return notes.withColumn("filing", F.concat("company", F.lit("\x1f"), F.regexp_extract(head, r"(?:Document|Report): ([^ |]+)", 1)))
 
 
-def fit(notes: DataFrame) -> Model:
-    """The model of a table k, company, t. What reaches the driver is bounded by the shares, not by the corpus."""
-    counts = notes.select("t", "company").mapInPandas(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    counts = cut(counts)  # read twice below: the texts are counted once
+def fit(notes: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of a table k, company, t, filing, and a table filing, own: header shapes of single filings that the model lacks.
+
+    What reaches the driver is bounded by the shares, not by the corpus; the filings' own headers stay distributed.
+    """
+    counts = notes.select("t", "company", "filing").mapInPandas(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    counts = cut(counts)  # read several times below: the texts are counted once
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     pages = F.sum(F.when(F.col("kind") == "p", F.col("total")))
     least = totals.crossJoin(totals.agg(pages.alias("pages")))  # four rows by one
     need = F.when(F.col("kind") == "h", F.greatest(F.lit(LEAST_PAGES), F.col("pages") * HEADER_SHARE)).otherwise(F.col("total") * SHARE)
-    kept = counts.join(F.broadcast(least.select("kind", "total", need.alias("need"))), "kind").where("n >= need").toPandas()
+    kept = counts.where(~F.col("kind").isin("fp", "fh")).join(F.broadcast(least.select("kind", "total", need.alias("need"))), "kind").where("n >= need").toPandas()
     by = {k: g for k, g in kept.groupby("kind")}
     take = lambda k: dict(zip(by[k]["item"], by[k]["n"].astype(int))) if k in by else {}
     total = int(by["w"]["total"].iloc[0]) if "w" in by else 0
-    return Model(take("w"), take("b"), set(take("h")), total)
+    model = Model(take("w"), take("b"), set(take("h")), total)
+    shapes = counts.where((F.col("kind") == "fh") & (F.col("n") >= LEAST_PAGES)).withColumn("shape", F.substring_index("item", "\x1f", -1)).where(~F.col("shape").isin(model.headers))
+    shapes = shapes.select(F.expr("left(item, length(item) - length(shape) - 1)").alias("filing"), "shape", "n")
+    pages = counts.where("kind = 'fp'").select(F.col("item").alias("filing"), F.col("n").alias("pages"))
+    own = shapes.join(pages, "filing").where(F.col("n") >= F.col("pages") * FILING_SHARE).groupBy("filing").agg(F.collect_set("shape").alias("own"))
+    return model, own
 
 
 def repaired(df: DataFrame, text: str = "content", key: str = "ord", company: str = "company", kind: str = "type", wanted: str = "text_note") -> DataFrame:
@@ -337,15 +352,17 @@ def repaired(df: DataFrame, text: str = "content", key: str = "ord", company: st
     out each; tables that are empty give an empty result; other columns are ignored, whatever their names.
     """
     notes = _notes(df, text, key, company, kind, wanted)
-    model = df.sparkSession.sparkContext.broadcast(fit(notes))
+    fitted, own = fit(notes)
+    model = df.sparkSession.sparkContext.broadcast(fitted)
+    notes = notes.join(broadcast_if_small(own), "filing", "left").select("k", "company", "t", "own")
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for batch in batches:
             rows = []
-            for k, c, t in batch.itertuples(index=False, name=None):
+            for k, c, t, own in batch.itertuples(index=False, name=None):
                 head, body = _body(t)
-                new, kinds = repair(body, c or "", m)
+                new, kinds = repair(body, c or "", m, frozenset(own) if own is not None else frozenset())
                 rows.append((k, kinds, new))
             yield pd.DataFrame(rows, columns=["k", "kinds", "repaired"])
 

@@ -124,6 +124,16 @@ def test_scans(noisy):
     assert scans.noise(noisy.limit(0)).count() == 0
 
 
+def test_header_of_one_filing(spark):
+    """A header that runs through a filing is found however many other pages there are; a line on one page of a filing stays."""
+    page = lambda company, doc, body: (company, "text_note", f"Company: {company} | Document: {doc} | Page: 1 | Content: {body}")
+    text = CLEAN[0].replace("largely ", "largely\n")
+    rows = [page(f"C{i % 50}", "x.pdf", text) for i in range(2600)]
+    rows += [page("ACME", "a.pdf", "Acme Foods quarterly binder\n" + text)] * 4 + [page("ACME", "b.pdf", "Acme Foods quarterly binder\n" + text)] + [page("ACME", "b.pdf", text)] * 4
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, company string, type string, content string")
+    assert {(r.ord, r.kind) for r in scans.noise(df).collect()} == {(2600 + i, "header") for i in range(4)}
+
+
 def test_channel():
     assert "from" in scans.readings("frorn") and "unreadable" in scans.readings("unreaclable") and "history" in scans.readings("h1story")
     model = scans.Model({"sales": 500, "increased": 400, "the": 900, "soles": 1}, {"sales increased": 300}, set(), 5000)
