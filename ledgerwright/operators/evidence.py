@@ -25,7 +25,7 @@ def page_window(page: Column, part: Column, size: int = WINDOW) -> Column:
 
 def quarterly_rows(decoded: DataFrame, key: str = "parent_id") -> DataFrame:
     """key, digest, row_ix: rows of decoded tables whose first four numbers add up to the fifth within the tolerance."""
-    nums = F.filter(F.transform(F.slice("row", 2, 100), lambda c: T.number(c)), lambda v: v.isNotNull())
+    nums = F.filter(F.transform(F.slice("row", 2, F.size("row")), lambda c: T.number(c)), lambda v: v.isNotNull())
     d = decoded.select(key, "digest", "row_ix", nums.alias("v")).where("size(v) >= 5")
     four = F.aggregate(F.slice("v", 1, 4), F.lit(0.0), lambda a, x: a + x)
     return d.where(F.abs(four - F.get("v", 4)) <= QUARTER_TOLERANCE * F.abs(F.get("v", 4))).select(key, "digest", "row_ix")

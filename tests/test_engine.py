@@ -119,6 +119,15 @@ def test_every_table_of_a_parent(spark):
     assert sorted((r.parent_id, r.row_ix) for r in evidence.quarterly_rows(dec).collect()) == [("p", 0), ("p", 1), ("p", 1), ("q", 1)]
 
 
+def test_wide_rows_keep_all_cells(spark):
+    cells = [f"c{i}" for i in range(1500)]
+    wide = spark.createDataFrame([(cells, cells, "ACME"), (["h"], ["only"], "ACME"), ([], [], "ACME")], "headers array<string>, row array<string>, company string")
+    said = [r.said for r in wide.select(tables.linearised(F.col("headers"), F.col("row"), F.col("company")).alias("said")).collect()]
+    assert said == ["Company: ACME | Line Item: c0 | " + " | ".join(f"{c}: {c}" for c in cells[1:]), "Company: ACME | Line Item: only | ", "Company: ACME | "]
+    quarters = spark.createDataFrame([("p", "d", 0, ["Sales"] + [""] * 200 + ["1", "2", "3", "4", "10"]), ("p", "d", 1, ["Sales"])], "parent_id string, digest string, row_ix int, row array<string>")
+    assert [r.row_ix for r in evidence.quarterly_rows(quarters).collect()] == [0]
+
+
 def test_pages(spark):
     bad = lambda t: one(spark, pages.is_malformed_label(F.col("t")), t=t)
     assert bad("89,463") and bad("$") and not bad("Revenues") and not bad("2027") and not bad("2031-2035")
