@@ -1,29 +1,33 @@
 """Personal information in free text: found, validated, and replaced by typed placeholders that keep equal values linked.
 
-Method: format-preserving Feistel pseudonyms. Each mention is parsed and validated in its format; its figures go through
-a keyed Feistel permutation of the numbers of that length, so the placeholder shows a value of the same format, equal
-values stay equal in every document and no two become one. Values without a numeric format (names, mailboxes, streets)
-get a keyed token instead. Names are found where the text says that a person is meant; names so found teach a lexicon of
-given names and surnames (what is frequent by share, so its size is bounded), which finds them where nothing says so.
+Method: format-preserving Feistel pseudonyms. Each mention is parsed and validated in its format; its figures and
+letters go through a keyed Feistel permutation of the strings of that format, walked on until the image is as valid as
+the value was. So the placeholder shows a possible value of the same format, equal values stay equal in every document,
+whatever their notation, and no two become one. Values without such a format (names, mailboxes, streets) get a keyed
+token of 128 bits instead. Names are found where the text says that a person is meant; names so found teach a lexicon of
+given names and surnames, all of them, which finds them where nothing says so.
+
+One automaton over the literals that every pattern needs runs over a text; patterns look only around its hits.
 """
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-#: A given name or surname below this share of all names is outside the lexicon: it has at most 1/SHARE entries.
-SHARE = 1e-5
-KEY = b"ledgerwright"
+from ledgerwright.runtime import cut
+
+KINDS = ("email", "phone", "id_number", "address", "name", "date")
+#: A lexicon of up to this many words is broadcast; a larger one is joined with the words of the texts.
+MOST_WORDS = 200_000
 
 # ---------------------------------------------------------------- Feistel
 
@@ -32,44 +36,141 @@ def _round(key: bytes, tweak: str, i: int, half: int, modulus: int) -> int:
     return int.from_bytes(hmac.digest(key, f"{tweak}|{i}|{half}".encode(), "sha256")[:16], "big") % modulus
 
 
-def permute(digits: str, key: bytes = KEY, tweak: str = "", back: bool = False) -> str:
-    """The image of a string of figures under a keyed permutation of all strings of its length; `back`: its preimage.
+def _number(text: str) -> tuple[int, int]:
+    """(value, modulus) of a string of figures and capitals read as a number of mixed base."""
+    value, modulus = 0, 1
+    for c in text:
+        base, at = (10, ord(c) - 48) if c.isdigit() else (26, ord(c) - 65)
+        value, modulus = value * base + at, modulus * base
+    return value, modulus
+
+
+def _letters(value: int, like: str) -> str:
+    out = []
+    for c in reversed(like):
+        base, first = (10, 48) if c.isdigit() else (26, 65)
+        value, at = divmod(value, base)
+        out.append(chr(first + at))
+    return "".join(reversed(out))
+
 
-    Ten rounds of an alternating Feistel network on two halves, added modulo a power of ten. A single figure is shifted.
+def permute(text: str, key: bytes, tweak: str = "", back: bool = False) -> str:
+    """The image of a string of figures and capitals under a keyed permutation of all strings of its pattern; `back`: its preimage.
+
+    Ten rounds of an alternating Feistel network on two halves, added modulo the number of strings of each half.
     """
-    n = len(digits)
-    if n == 0:
-        return digits
-    if n == 1:
-        shift = _round(key, tweak, 0, 0, 10)
-        return str((int(digits) + (-shift if back else shift)) % 10)
-    u = n // 2
-    v = n - u
-    a, b = int(digits[:u]), int(digits[u:])
-    mods = (10**u, 10**v)
-    tweak = f"{tweak}|{n}"
-    steps = range(9, -1, -1) if back else range(10)
-    for i in steps:
+    if not text:
+        return text
+    u = len(text) // 2
+    (a, m), (b, n) = _number(text[:u]), _number(text[u:])
+    tweak = f"{tweak}|{len(text)}"
+    for i in range(9, -1, -1) if back else range(10):
         # even rounds change the left half by the right one, odd rounds the right by the left
         if i % 2 == 0:
-            f = _round(key, tweak, i, b, mods[0])
-            a = (a - f if back else a + f) % mods[0]
+            f = _round(key, tweak, i, b, m)
+            a = (a - f if back else a + f) % m
         else:
-            f = _round(key, tweak, i, a, mods[1])
-            b = (b - f if back else b + f) % mods[1]
-    return f"{a:0{u}d}{b:0{v}d}"
+            f = _round(key, tweak, i, a, n)
+            b = (b - f if back else b + f) % n
+    return _letters(a, text[:u]) + _letters(b, text[u:])
+
+
+def walked(text: str, key: bytes, tweak: str, sort: Callable[[str], int]) -> str:
+    """The image under the permutation walked on until it is of the same sort as `text`: a permutation of each sort."""
+    want = sort(text)
+    image = permute(text, key, tweak)
+    while sort(image) != want:
+        image = permute(image, key, tweak)
+    return image
+
 
+def _ssn_sort(d: str) -> int:
+    """0 if no such number is given out, 1 for social security, 2 for taxpayer numbers."""
+    return 0 if d[:3] in ("000", "666") or d[3:5] == "00" or d[5:] == "0000" else 2 if d[0] == "9" else 1
 
-def _figures(text: str, tweak: str, key: bytes, keep: int = 0) -> str:
-    """`text` with its figures after the first `keep` permuted in place; everything else stays as it stands."""
-    digits = re.sub(r"\D", "", text)
-    new = iter(digits[:keep] + permute(digits[keep:], key, tweak))
-    return re.sub(r"\d", lambda _: next(new), text)
+
+def _ni_sort(t: str) -> int:
+    """0 if the last letter isn't one of the four, 1 if the first two are never given out, 2 for a possible number."""
+    if t[-1] not in "ABCD":
+        return 0
+    return 1 if t[0] in "DFIQUV" or t[1] in "DFIOQUV" or t[:2] in ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ") else 2
+
+
+def _american(d: str) -> int:
+    return int(len(d) == 10 and d[0] in "23456789" and d[1] != "9" and d[1:3] != "11" and d[3] in "23456789" and d[4:6] != "11")
+
+
+_SORTS: dict[str, Callable[[str], int]] = {"ssn": _ssn_sort, "ni": _ni_sort, "american": _american, "phone": lambda d: int(d[:1] != "0")}
+
+
+def _in_place(text: str, tweak: str, key: bytes, keep: int = 0, letters: bool = True) -> str:
+    """`text` with its figures (and letters) after the first `keep` permuted where they stand; case and separators stay."""
+    marks = [i for i, c in enumerate(text) if c.isascii() and (c.isdigit() or letters and c.isalpha())]
+    plain = "".join(text[i] for i in marks).upper()
+    sort = _SORTS.get(tweak)
+    new = plain[:keep] + (walked(plain[keep:], key, tweak, sort) if sort and len(plain) > keep else permute(plain[keep:], key, tweak))
+    out = list(text)
+    for i, c in zip(marks, new):
+        out[i] = c.lower() if text[i].islower() else c
+    return "".join(out)
 
 
 def _token(text: str, tweak: str, key: bytes) -> str:
-    """A short keyed token of a text, letter case and blanks set aside."""
-    return hmac.digest(key, f"{tweak}|{re.sub(r'\s+', ' ', text).casefold()}".encode(), "sha256").hex()[:10]
+    """A keyed token of 128 bits of a text, letter case and blanks set aside."""
+    return hmac.digest(key, f"{tweak}|{re.sub(r'\s+', ' ', text).casefold()}".encode(), "sha256").hex()[:32]
+
+
+# Calling codes of one and of two figures; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _phone(value: str, key: bytes) -> str:
+    """A phone number without extension, its national number permuted: calling code and trunk zero stay, so notations link."""
+    base = re.split(r",?\s*(?:x|ext|Durch|poste)", value, maxsplit=1)[0].rstrip(" ,")
+    digits = re.sub(r"\D", "", base)
+    if "+" in base[:2]:
+        keep = next((n for n in (1, 2) if digits[:n] in _CODES), 3)
+    else:
+        keep = 1 if len(digits) == 11 and digits[0] == "1" else 0
+    american = digits[:keep] == "1" or keep == 0 and len(digits) == 10 and digits[0] != "0"
+    while keep < len(digits) - 1 and digits[keep] == "0":
+        keep += 1
+    return _in_place(base, "american" if american and len(digits) - keep == 10 else "phone", key, keep, letters=False)
+
+
+# Names of months.
+_MONTHS = "January February March April May June July August September October November December".split()
+_FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+
+
+def permute_date(text: str, key: bytes) -> str | None:
+    """A valid date of 1900 to 2099 in one of four notations as another one in the same notation, equal dates alike; else null.
+
+    2001-02-03, 02/03/2001 or 02.03.2001 (month first unless it can't be), February 3, 2001 and 3 February 2001.
+    """
+    if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text):
+        y, mo, d = map(int, m.groups())
+        write = lambda t: t.isoformat()
+    elif m := re.fullmatch(r"(\d{1,2})([/.])(\d{1,2})\2(\d{4})", text):
+        a, sep, b, y = int(m[1]), m[2], int(m[3]), int(m[4])
+        mo, d = (b, a) if a > 12 else (a, b)
+        write = lambda t: f"{t.day:02d}{sep}{t.month:02d}{sep}{t.year}" if a > 12 else f"{t.month:02d}{sep}{t.day:02d}{sep}{t.year}"
+    elif (m := re.fullmatch(r"([A-Z][a-z]+) (\d{1,2}), (\d{4})", text)) and m[1] in _MONTHS:
+        y, mo, d = int(m[3]), _MONTHS.index(m[1]) + 1, int(m[2])
+        write = lambda t: f"{_MONTHS[t.month - 1]} {t.day}, {t.year}"
+    elif (m := re.fullmatch(r"(\d{1,2}) ([A-Z][a-z]+) (\d{4})", text)) and m[2] in _MONTHS:
+        y, mo, d = int(m[3]), _MONTHS.index(m[2]) + 1, int(m[1])
+        write = lambda t: f"{t.day} {_MONTHS[t.month - 1]} {t.year}"
+    else:
+        return None
+    try:
+        n = (date(y, mo, d) - _FIRST_DAY).days
+    except ValueError:
+        return None
+    if not 0 <= n < _DAYS:
+        return None
+    image = walked(f"{n:05d}", key, "date", lambda x: int(int(x) < _DAYS))
+    return write(_FIRST_DAY + timedelta(days=int(image)))
 
 
 # ---------------------------------------------------------------- formats
@@ -163,37 +264,126 @@ _FIRM = re.compile(rf"(?:\s*(?:,\s*{_PART}\s*)*(?:&|and|und|et|y)\s+{_SUR})?,?\s
 
 
 class Lexicon:
-    def __init__(self, given: set[str], sur: set[str]):
+    def __init__(self, given: set[str] | frozenset[str], sur: set[str] | frozenset[str]):
         self.given, self.sur = given, sur
 
 
-NONE = Lexicon(set(), set())
-
-
-def _name_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
-    out = []
-    for pattern in _NAMES:
-        for m in pattern.finditer(text):
-            if not _FIRM.match(text, m.end("n")):
-                out.append(m.span("n"))
-    for m in _SPEAKER.finditer(text):
+NONE = Lexicon(frozenset(), frozenset())
+
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞŁŽŠ][\w'’\-]*")
+#: six and more figures with nothing but separators between them
+_RUN = re.compile(r"[0-9](?:[ .\-()\n\u00a0\u202f]{0,3}[0-9]){5,}")
+_BIRTH = re.compile(r"\b(?:[Bb]orn(?:\s+on)?|[Dd]ate\s+of\s+birth|DATE\s+OF\s+BIRTH|DOB|D\.O\.B\.|geboren\s+am|née?\s+le|nacid[oa]\s+el)[:,]?\s+(?P<d>\d{4}-\d\d-\d\d|\d{1,2}[/.]\d{1,2}[/.]\d{4}|[A-Z][a-z]+ \d{1,2}, \d{4}|\d{1,2} [A-Z][a-z]+ \d{4})(?!\d)")
+
+# Literals without one of which a pattern can't match, with how far it reaches before and behind them.
+_CUES: dict[str, tuple[tuple[str, ...], int, int]] = {
+    "email": (("@", *(f"{b}{gap}{at}" for b in "[({" for gap in ("", " ", "\n", "\t", "\u00a0") for at in ("at", "AT"))), 100, 160),
+    "ssn": (("SSN", "S.S.N", "soc", "Soc", "SOCIAL"), 4, 90), "ni": (("NI", "N.I.", "ational", "NATIONAL"), 4, 90), "passport": (("assport", "PASSPORT", "eisepass", "asseport", "asaporte"), 4, 70),
+    "licence": (("river", "riving", "DRIV", "ührerschein", "ermis"), 6, 110),
+    "street": (tuple("Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Way Terrace Ter Place Pl Square Sq Parkway Pkwy Highway Hwy Crescent Close Row Walk Circle Gardens Quay Mews Hill".split()), 140, 220),
+    "box": (("Box", "BOX", "Postfach", "Apartado", "postale", "B.P."), 20, 160), "strasse": (("weg", "straße", "strasse", "str.", "allee", "platz", "gasse", "ring", "damm", "ufer", "stieg"), 60, 120),
+    "rue": (("rue", "avenue", "boulevard", "place", "quai", "chemin", "allée", "impasse", "route", "cours", "square"), 16, 200), "calle": (("Calle", "Avenida", "Avda.", "Plaza", "Paseo", "Camino", "Carrera"), 2, 200),
+    "title": (tuple("Mr Ms Miss Mx Dr Prof Sir Herr Frau Mme Mlle Monsieur Madame Sr Señor Don Doña Messrs".split()), 2, 160), "monsieur": (("M.",), 8, 120), "signed": (("/s/",), 0, 160),
+    "capital_title": (tuple("MR MS DR PROF HERR FRAU".split()), 2, 160),
+    "called": (("presence", "mailed", "sent", "questions", "indemnity", "names", "reviewer", "grantee", "signed", "prepared", "attention", "Attn", "contact", "speak", "écrire", "adresser", "llame", "dirigirse", "Ansprechpartner", "wenden"), 2, 200),
+    "role": (tuple("Vice President Chair Chief Corporate Treasurer Controller Secretary General Director Head Senior Executive Managing reviewing analyst auditor partner counsel manager esq".split()), 140, 40),
+    "numbered": (("(SSN", "(soc", "(pass", "(NI", "(nat", "(driv"), 140, 12), "speaker": ((":",), 140, 4), "birth": (("orn", "birth", "BIRTH", "DOB", "D.O.B.", "geboren", "né", "nacid"), 10, 60),
+}
+_NAME_CUES = ("title", "monsieur", "signed", "capital_title", "called", "role", "numbered")
+_PATTERNS = {"ssn": (0,), "ni": (1,), "passport": (2,), "licence": (3,)}
+_NAME_PATTERNS = {"title": 0, "monsieur": 1, "signed": 2, "capital_title": 3, "called": 4, "role": 5, "numbered": 5}
+# whether a literal must stand at the beginning of a word
+_INSIDE = frozenset(("email", "strasse", "speaker", "passport", "licence", "ni", "signed", "box", "birth", "numbered", "ssn"))
+
+
+@lru_cache(4)
+def _automaton(groups: tuple[str, ...]) -> ahocorasick.Automaton:
+    meant: dict[str, list[str]] = {}
+    for g in groups:
+        for literal in _CUES[g][0]:
+            meant.setdefault(literal, []).append(g)
+    made = ahocorasick.Automaton()
+    for literal, of in meant.items():
+        made.add_word(literal, (len(literal), tuple(of)))
+    made.make_automaton()
+    return made
+
+
+def _may(text: str, group: str, a: int, b: int) -> bool:
+    """Whether what stands right beside a literal lets its pattern match."""
+    if group not in _INSIDE and a and (text[a - 1].isalnum() or text[a - 1] == "_"):
+        return False
+    if group == "street":
+        return not (text[b : b + 1].isalnum()) and any(c.isdigit() for c in text[max(0, a - 110) : a])
+    if group == "strasse":
+        return any(c.isdigit() for c in text[b : b + 5])
+    if group == "rue":
+        return any(c.isdigit() for c in text[max(0, a - 8) : a])
+    if group == "title":
+        return text[b : b + 1] in ". \n\t\u00a0sfnra"
+    if group == "role":
+        return text[max(0, a - 4) : a].rstrip().endswith(",")
+    if group == "speaker":
+        return a > 0 and text[a - 1].isalpha() and text[b : b + 1].isspace()
+    return True
+
+
+def _windows(text: str, groups: tuple[str, ...]) -> dict[str, list[tuple[int, int]]]:
+    """Of each group the stretches of a text in which its pattern may match."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for last, (size, of) in _automaton(groups).iter(text):
+        b = last + 1
+        for g in of:
+            if _may(text, g, b - size, b):
+                _, before, behind = _CUES[g]
+                lo, hi = max(0, b - size - before), min(len(text), b + behind)
+                spans = found.setdefault(g, [])
+                if spans and lo <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], hi)
+                else:
+                    spans.append((lo, hi))
+    return found
+
+
+def _within(pattern: re.Pattern, text: str, spans: list[tuple[int, int]] | None) -> Iterator[re.Match]:
+    for lo, hi in spans or ():
+        yield from pattern.finditer(text, lo, hi)
+
+
+def _named(text: str, windows: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Names where the text says that a person is meant."""
+    found = {m.span("n") for g, k in _NAME_PATTERNS.items() for m in _within(_NAMES[k], text, windows.get(g)) if not _FIRM.match(text, m.end("n"))}
+    return sorted(found)
+
+
+def _name_spans(text: str, lexicon: Lexicon, windows: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    out = _named(text, windows)
+    if not lexicon.sur:
+        return out
+    for m in _within(_SPEAKER, text, windows.get("speaker")):
         words = re.split(r"\s+", m["n"])
-        if lexicon.sur and _surname(words) in lexicon.sur and (_plain(words[0]) in lexicon.given or words[0].endswith(".")):
+        if _surname(words) in lexicon.sur and (_plain(words[0]) in lexicon.given or words[0].endswith(".")):
             out.append(m.span("n"))
-    if lexicon.given:
-        for m in _INVERTED.finditer(text):
-            if m["g"] in lexicon.given and _surname(m["s"].split()) in lexicon.sur and not any(a <= m.start() < b and a < m.start("s") for a, b in out):
-                out = [x for x in out if not m.start() <= x[0] < m.end()] + [m.span()]
-        for m in _UP_PAIR.finditer(text):
-            if _plain(m["g"]) in lexicon.given and _surname(m["s"].split()) in lexicon.sur and not _FIRM.match(text, m.end("s")):
-                out.append(m.span())
-        at = 0
-        while m := _PAIR.search(text, at):
-            at = m.end("g")
-            if m["g"] in lexicon.given and _surname(m["s"].split()) in lexicon.sur and not _FIRM.match(text, m.end("s")):
-                out.append((m.start("g"), m.end("s")))
-                at = m.end("s")
-    return out
+    pairs: list[tuple[int, int]] = []
+    inverted: list[tuple[int, int]] = []
+    at = 0
+    given = lexicon.given
+    for m in _CAPITAL.finditer(text):
+        w, a = m[0], m.start()
+        if w in given:
+            if text[max(0, a - 3) : a].rstrip().endswith(","):
+                for x in _INVERTED.finditer(text, max(0, a - 90), m.end() + 1):
+                    if x["g"] in given and x.start("g") == a and _surname(x["s"].split()) in lexicon.sur:
+                        inverted.append(x.span())
+            if a >= at and (x := _PAIR.match(text, a)) and x["g"] in given and _surname(x["s"].split()) in lexicon.sur and not _FIRM.match(text, x.end("s")):
+                pairs.append((a, x.end("s")))
+                at = x.end("s")
+        elif len(w) > 1 and w.isupper() and _plain(w) in given and (x := _UP_PAIR.match(text, a)) and _plain(x["g"]) in given and _surname(x["s"].split()) in lexicon.sur and not _FIRM.match(text, x.end("s")):
+            pairs.append((a, x.end("s")))
+    for a, b in inverted:
+        if not any(c < a < d for c, d in out):
+            out = [x for x in out if not a <= x[0] < b] + [(a, b)]
+    return out + pairs
 
 
 def _surname(words: list[str]) -> str:
@@ -206,29 +396,31 @@ def _plain(word: str) -> str:
     return "-".join(p.capitalize() for p in word.split("-")) if len(word) > 1 and word.isupper() else word
 
 
-def mentions(text: str, lexicon: Lexicon = NONE) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, format) of every mention, in order; of overlapping ones the kind that is surest."""
-    found: list[tuple[int, int, str, str]] = []
-    if "@" in text or re.search(r"\s?[\[({]\s?(?:at|AT)\s?[\])}]", text):
-        for m in _EMAIL.finditer(text):
-            if re.search(r"[^\W\d_]", m[0].split("@")[0]):
-                found.append((m.start(), m.end(), "email", "email"))
-    for form, pattern in zip(("ssn", "ni", "passport", "licence", "ni"), _IDS):
-        for m in pattern.finditer(text):
+def mentions(text: str, lexicon: Lexicon = NONE, dates: bool = False) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, format) of every mention, in order; of overlapping ones the kind that is surest. `dates`: of birth, too."""
+    windows = _windows(text, tuple(_CUES))
+    found: set[tuple[int, int, str, str]] = set()
+    for m in _within(_EMAIL, text, windows.get("email")):
+        if re.search(r"[^\W\d_]", m[0].split("@")[0]):
+            found.add((*m.span(), "email", "email"))
+    runs = [(max(0, m.start() - 10), min(len(text), m.end() + 48)) for m in _RUN.finditer(text)]
+    for form, pattern, spans in zip(("ssn", "ni", "passport", "licence", "ni"), _IDS, (*(windows.get(g) for g in ("ssn", "ni", "passport", "licence")), runs)):
+        for m in _within(pattern, text, spans):
             if any(c.isdigit() for c in m["id"]):
-                found.append((m.start("id"), m.end("id"), "id_number", form))
-    for pattern in _ADDRESSES:
-        for m in pattern.finditer(text):
-            found.append((m.start(), m.end(), "address", "address"))
-    for k, pattern in enumerate(_PHONES):
-        for m in pattern.finditer(text):
+                found.add((*m.span("id"), "id_number", form))
+    for group, pattern in zip(("street", "box", "strasse", "rue", "calle"), _ADDRESSES):
+        for m in _within(pattern, text, windows.get(group)):
+            found.add((*m.span(), "address", "address"))
+    for pattern in _PHONES:
+        for m in _within(pattern, text, runs):
             if not _OTHER.search(text, max(0, m.start() - 26), m.start()) and 8 <= sum(c.isdigit() for c in re.sub(r"(?:x|ext|Durch|poste).*", "", m[0], flags=re.DOTALL)) <= 15:
-                found.append((m.start(), m.end(), "phone", "phone"))
-    for m in _BARE_SSN.finditer(text):
+                found.add((*m.span(), "phone", "phone"))
+    for m in _within(_BARE_SSN, text, runs):
         if not _OTHER.search(text, max(0, m.start() - 26), m.start()):
-            found.append((m.start("id"), m.end("id"), "id_number", "ssn"))
-    for a, b in _name_spans(text, lexicon):
-        found.append((a, b, "name", "name"))
+            found.add((*m.span("id"), "id_number", "ssn"))
+    if dates:
+        found |= {(*m.span("d"), "date", "date") for m in _within(_BIRTH, text, windows.get("birth"))}
+    found |= {(a, b, "name", "name") for a, b in _name_spans(text, lexicon, windows)}
     kept: list[tuple[int, int, str, str]] = []
     for x in sorted(found, key=lambda x: (KINDS.index(x[2]) if x[2] != "name" else 9, x[0] - x[1], x[0])):
         if all(x[1] <= k[0] or k[1] <= x[0] for k in kept):
@@ -236,21 +428,20 @@ def mentions(text: str, lexicon: Lexicon = NONE) -> list[tuple[int, int, str, st
     return sorted(kept)
 
 
-def placeholder(value: str, kind: str, form: str, key: bytes = KEY) -> str:
-    """The typed placeholder: figures permuted within their format where there is one, a keyed token elsewhere."""
+def placeholder(value: str, kind: str, form: str, key: bytes) -> str:
+    """The typed placeholder: permuted within the format where there is one, a keyed token elsewhere."""
     if form == "phone":
-        base = re.split(r"(?:x|ext|Durch|poste)", value, maxsplit=1)[0]
-        n = sum(c.isdigit() for c in base)
-        area = n - 10 if 10 < n <= 11 and re.sub(r"\D", "", base).startswith("1") else 0
-        return f"[PHONE {_figures(base.rstrip(' ,'), 'phone', key, area)}]"
+        return f"[PHONE {_phone(value, key)}]"
     if form in ("ssn", "ni", "passport", "licence"):
-        return f"[ID_NUMBER {_figures(value, form, key)}]"
-    if form == "address":
-        return f"[ADDRESS {_token(value, 'address', key)}]"
+        return f"[ID_NUMBER {_in_place(value, form, key)}]"
+    if form == "date" and (image := permute_date(value, key)):
+        return f"[DATE {image}]"
+    if form == "email":
+        value = re.sub(r"\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?", ".", re.sub(r"\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\s@\s", "@", value))
     return f"[{kind.upper()} {_token(value, kind, key)}]"
 
 
-def masked(text: str, found: list[tuple[int, int, str, str]], key: bytes = KEY) -> str:
+def masked(text: str, found: list[tuple[int, int, str, str]], key: bytes) -> str:
     out, at = [], 0
     for a, b, kind, form in found:
         out += [text[at:a], placeholder(text[a:b], kind, form, key)]
@@ -261,48 +452,75 @@ def masked(text: str, found: list[tuple[int, int, str, str]], key: bytes = KEY)
 # ---------------------------------------------------------------- over tables
 
 
-def learn(df: DataFrame, text: str = "text") -> Lexicon:
-    """Given names and surnames of all texts, from where the text itself says that a person is meant."""
+def learn(df: DataFrame, text: str = "text") -> DataFrame:
+    """word, kind (`g` or `s`): given names and surnames of all texts, from where the text itself says that a person is meant."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, str]] = set()
         for batch in batches:
+            new: set[tuple[str, str]] = set()
             for t in batch["t"]:
-                for a, b in _name_spans(t, NONE):
+                for a, b in _named(t, _windows(t, _NAME_CUES)):
                     words = re.split(r"\s+", t[a:b])
                     if len(words) > 1:
-                        counts["s", _surname(words)] += 1
+                        new.add((_surname(words), "s"))
                         if words[0][:1].isupper() and not words[0].endswith("."):
-                            counts["g", _plain(words[0])] += 1
-        yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "word", "n"])
+                            new.add((_plain(words[0]), "g"))
+            new -= seen
+            if len(seen) < 500_000:  # what is said again is dropped here or by the distinct below
+                seen |= new
+            yield pd.DataFrame(sorted(new), columns=["word", "kind"])
+
+    return df.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(names, "word string, kind string").distinct()
 
-    seen = df.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    least = seen.groupBy("kind").agg((F.sum("n") * SHARE).alias("least"))
-    rows = seen.join(F.broadcast(least), "kind").where("n >= least").select("kind", "word").collect()
-    return Lexicon({r.word for r in rows if r.kind == "g"}, {r.word for r in rows if r.kind == "s"})
 
+def _with_lexicon(src: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """src(k, t) with `given` and `sur`: the names of the lexicon among the words of each text, by joins on word and digest."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, w) for d, t in zip(batch["digest"], batch["t"]) for w in {v for c in _CAPITAL.findall(t) for v in (c, _plain(c), _surname([c]))}]
+            yield pd.DataFrame(rows, columns=["digest", "word"])
 
-def masked_texts(df: DataFrame, text: str = "text", key: str = "doc_id", secret: bytes = KEY) -> DataFrame:
+    src = src.withColumn("digest", F.md5("t"))
+    said = src.where("t <> ''").select("digest", "t").mapInPandas(words, "digest string, word string").distinct()
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("word")))
+    known = said.join(lexicon, "word").groupBy("digest").agg(of("g").alias("given"), of("s").alias("sur"))
+    return src.join(known, "digest", "left").select("k", "t", "given", "sur")
+
+
+def masked_texts(df: DataFrame, secret: bytes, text: str = "text", key: str = "doc_id", dates: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
     """key, masked, mentions (array of kind, start_at, end_at): one row per row of the table.
 
-    A null text stays null with no mentions, an empty one empty; repeated rows come out each and link to each other;
-    whole texts are read; extra columns are ignored, whatever their names. start_at counts code points of the text.
+    `secret` keys the pseudonyms: who has it can undo them. A null text stays null with no mentions, an empty one empty;
+    repeated rows come out each and link to each other; whole texts are read; extra columns are ignored, whatever their
+    names. start_at counts code points of the text. `dates`: dates of birth are permuted, too.
+    A lexicon of more than `most_words` words isn't broadcast but joined with the words of the texts, with the same result.
     """
-    lexicon = df.sparkSession.sparkContext.broadcast(learn(df, text))
+    if not secret:
+        raise ValueError("a secret is needed")
+    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    lexicon = cut(learn(src, "t"))
+    small = lexicon.limit(most_words + 1).count() <= most_words
+    if small:
+        known = lexicon.collect()
+        sent = df.sparkSession.sparkContext.broadcast(Lexicon({r.word for r in known if r.kind == "g"}, {r.word for r in known if r.kind == "s"}))
+    else:
+        src = _with_lexicon(src, lexicon)
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, t in batch.itertuples(index=False, name=None):
-                found = mentions(t, lexicon.value) if t else []
+            for k, t, *own in batch.itertuples(index=False, name=None):
+                names = sent.value if small else Lexicon(*(frozenset(x) if x is not None else frozenset() for x in own))
+                found = mentions(t, names, dates) if t else []
                 rows.append((k, masked(t, found, secret) if t is not None else None, [{"kind": x[2], "start_at": x[0], "end_at": x[1]} for x in found]))
             yield pd.DataFrame(rows, columns=["k", "masked", "mentions"])
 
-    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
     return src.mapInPandas(mask, f"k {kind}, masked string, mentions array<struct<kind:string,start_at:int,end_at:int>>").withColumnRenamed("k", key)
 
 
-def found_mentions(df: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
+def found_mentions(df: DataFrame, secret: bytes, key: str = "doc_id", **columns) -> DataFrame:
     """One row per mention that was replaced: key, kind, start_at."""
-    return masked_texts(df, key=key, **columns).select(key, F.explode("mentions").alias("m")).select(key, "m.kind", "m.start_at")
+    return masked_texts(df, secret, key=key, **columns).select(key, F.explode("mentions").alias("m")).select(key, "m.kind", "m.start_at")

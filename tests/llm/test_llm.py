@@ -254,12 +254,49 @@ def test_feistel_is_a_permutation_of_its_format(digits, key):
 
 
 def test_feistel_covers_the_format():
-    assert len({personal.permute(f"{i:04d}") for i in range(10_000)}) == 10_000
+    assert len({personal.permute(f"{i:04d}", b"k") for i in range(10_000)}) == 10_000
+    assert len({personal.permute(f"{chr(65 + i // 10)}{i % 10}", b"k") for i in range(260)}) == 260
+    assert len({personal.walked(f"{i:03d}", b"k", "t", lambda x: int(int(x) % 3 == 0)) for i in range(1000)}) == 1000
+
+
+def test_images_are_valid_and_hide_letters():
+    key = b"k"
+    rnd = random.Random(4)
+    seen = set()
+    for _ in range(300):
+        ssn = f"{rnd.randint(1, 899):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}"
+        if ssn.startswith("666"):
+            continue
+        image = personal.placeholder(ssn, "id_number", "ssn", key)[11:-1]
+        assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", image)
+        seen.add((ssn, image))
+    assert len({a for a, _ in seen}) == len({b for _, b in seen})
+    assert personal.placeholder("955429136", "id_number", "ssn", key)[11] == "9"
+    licence = personal.placeholder("MORGA657054SM9IJ", "id_number", "licence", key)[11:-1]
+    assert re.fullmatch(r"[A-Z]{5}\d{6}[A-Z]{2}\d[A-Z]{2}", licence) and licence[:5] != "MORGA" and licence[11:13] != "SM"
+    ni = personal.placeholder("AB 12 34 56 c", "id_number", "ni", key)[11:-1]
+    assert re.fullmatch(r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] \d\d \d\d \d\d [abcd]", ni)
+    phone = lambda t: personal.placeholder(t, "phone", "phone", key)[7:-1]
+    assert phone("+44 20 7946 0958").startswith("+44 ") and phone("020 7946 0958") == "0" + phone("+44 20 7946 0958")[4:] and phone("+44 (0)20 7946 0958") == phone("+44 20 7946 0958").replace("+44 ", "+44 (0)")
+    assert re.sub(r"\D", "", phone("+1 562-555-0191"))[1:] == re.sub(r"\D", "", phone("(562) 555-0191 ext. 4")) == phone("5625550191") and phone("5625550191")[0] in "23456789"
+    assert personal.placeholder("orla.h [at] mail.example", "email", "email", key) == personal.placeholder("Orla.h@mail.example", "email", "email", key)
+    assert len(personal.placeholder("Juno Drosthoff", "name", "name", key)) == len("[NAME ]") + 32
+
+
+def test_dates_of_birth():
+    key = b"k"
+    text = "She was born on 1970-02-03 and hired on 2001-02-03. Date of birth: 3 February 1970; DOB 02/03/1970, born 31.12.1981, born 1970-02-30."
+    got = [(k, text[a:b]) for a, b, k, _ in personal.mentions(text, dates=True)]
+    assert got == [("date", "1970-02-03"), ("date", "3 February 1970"), ("date", "02/03/1970"), ("date", "31.12.1981"), ("date", "1970-02-30")] and personal.mentions(text) == []
+    iso, words, us, german = (personal.permute_date(t, key) for _, t in got[:4])
+    day = pd.Timestamp(iso)
+    assert pd.Timestamp(words) == day == pd.to_datetime(us, format="%m/%d/%Y") and pd.to_datetime(german, format="%d.%m.%Y").year < 2100 and iso != "1970-02-03"
+    assert personal.permute_date("1970-02-30", key) is None and len({personal.permute_date(str(d.date()), key) for d in pd.date_range("1990-01-01", "1994-12-31")}) == 1826
 
 
 def test_masking(spark):
     texts = [(1, "Call (562) 555-0191 or 562.555.0191."), (2, "Mr. Zembrandt: reach 5625550191."), (3, None), (4, ""), (5, "nothing"), (6, "Dr. Zembrandt said so. " + "long text here. " * 20_000), (1, "Call (562) 555-0191 or 562.555.0191.")]
-    got = personal.masked_texts(spark.createDataFrame([(k, t, "m") for k, t in texts], "doc_id long, text string, mentions string")).toPandas()
+    got = personal.masked_texts(spark.createDataFrame([(k, t, "m") for k, t in texts], "doc_id long, text string, mentions string"), b"k").toPandas()
     one = got[got.doc_id == 1].masked.tolist()
     assert len(one) == 2 and one[0] == one[1] and "555-0191" not in one[0]
     import re
@@ -268,14 +305,25 @@ def test_masking(spark):
     assert len(digits) == 1 and len(digits.pop()) == 10 and one[0].startswith("Call [PHONE (")
     names = set(re.findall(r"\[NAME \w+\]", " ".join(got.masked.dropna())))
     assert len(names) == 1 and pd.isna(got[got.doc_id == 3].masked.iloc[0]) and got[got.doc_id == 5].masked.iloc[0] == "nothing"
-    found = {(r.doc_id, r.kind, r.start_at) for r in personal.found_mentions(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = {(r.doc_id, r.kind, r.start_at) for r in personal.found_mentions(spark.createDataFrame(texts, "doc_id long, text string"), b"k").collect()}
     assert found == {(1, "phone", 5), (1, "phone", 23), (2, "name", 4), (2, "phone", 21), (6, "name", 4)}
 
 
 def test_lexicon_finds_names_without_a_cue(spark):
     df = spark.createDataFrame([(i, "Copies were mailed to Juno Drosthoff, and so on.") for i in range(3)] + [(9, "Juno Drosthoff: Could you say more? Then Drosthoff, Juno: Yes. Operator: Good morning. Net Sales: 5."), (10, "TOTAL NET SALES: 4. JUNO DROSTHOFF: Could you? JUNO FOODS")], "doc_id long, text string")
-    got = {(r.doc_id, r.start_at) for r in personal.found_mentions(df).collect()}
-    assert got == {(0, 22), (1, 22), (2, 22), (9, 0), (9, 41), (10, 20)}
+    for most in (personal.MOST_WORDS, 0):  # the lexicon sent to every task, and joined with the words of the texts
+        got = {(r.doc_id, r.start_at) for r in personal.found_mentions(df, b"k", most_words=most).collect()}
+        assert got == {(0, 22), (1, 22), (2, 22), (9, 0), (9, 41), (10, 20)}
+    with pytest.raises(ValueError):
+        personal.masked_texts(df, b"")
+
+
+def test_rare_names_are_kept_in_a_large_corpus(spark):
+    """One name among very many others is in the lexicon as well."""
+    names = spark.range(150_000).selectExpr("id AS doc_id", "concat('Mr. ', initcap(translate(cast(id + 100000 AS string), '0123456789', 'abcdefghik')), ' ', initcap(translate(cast(id + 100000 AS string), '0123456789', 'lmnopqrstu')), ' replied.') AS text")
+    odd = spark.createDataFrame([(-1, "Mr. Zoltan Wexcombe replied."), (-2, "Then Zoltan Wexcombe left.")], "doc_id long, text string")
+    got = personal.found_mentions(names.union(odd), b"k", most_words=1000).where("doc_id < 0")
+    assert {(r.doc_id, r.start_at) for r in got.collect()} == {(-1, 4), (-2, 5)}
 
 
 def test_unicode_data_backs_the_quick_check():
