@@ -204,9 +204,17 @@ def test_leaks(spark):
     e = spark.createDataFrame(items, "item_id long, doc_name string, question string, answer string, question_type string, evidence string")
     got = Counter(tuple(r) for r in leaks.find_leaks(d, e).collect())
     assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 1): 1, (10, 1): 1, (13, 1): 1, (14, 1): 1}
+    assert Counter(tuple(r) for r in leaks.find_leaks(d, e, most_items=1).collect()) == got  # an item at a time
     assert leaks.find_leaks(d, e.limit(0)).count() == 0 and leaks.find_leaks(d.limit(0), e).count() == 0
 
 
+def test_a_question_with_a_year_alone_is_found(spark):
+    asked = "Which share of the pallet wrap that the warehouse ordered in 2018 had been returned by the end of the season?"
+    d = spark.createDataFrame([(1, FILL + asked + FILL), (2, FILL + asked.replace("2018", "2017") + FILL), (3, FILL)], "doc_id long, text string")
+    e = spark.createDataFrame([(7, None, asked, None, None, None)], "item_id long, doc_name string, question string, answer string, question_type string, evidence string")
+    assert [tuple(r) for r in leaks.find_leaks(d, e).collect()] == [(1, 7)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rnd = random.Random(2)
     for _ in range(200):
@@ -218,7 +226,7 @@ def test_alignment_is_a_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert len(used) == table[-1][-1]
+        assert len(used) == table[-1][-1] and (leaks._align(a, b, len(used) + 1) is None)
 
 
 # ---------------------------------------------------------------- p8
