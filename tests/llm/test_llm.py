@@ -1,5 +1,6 @@
 """The operators for training text: literal cases, round trips, brute force and invariants."""
 
+import math
 import random
 import re
 import unicodedata
@@ -9,6 +10,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerwright.llm import canonical, containers, leaks, personal, pieces, scans
 
@@ -136,10 +138,53 @@ def test_header_of_one_filing(spark):
 
 def test_channel():
     assert "from" in scans.readings("frorn") and "unreadable" in scans.readings("unreaclable") and "history" in scans.readings("h1story")
-    model = scans.Model({"sales": 500, "increased": 400, "the": 900, "soles": 1}, {"sales increased": 300}, set(), 5000)
+    model = scans.Model({"sales": 500, "increased": 400, "the": 900}, {"sales increased": 300}, set(), 5000, {"soles": [("sales", math.log(1e-4))]})
     assert model.decode([("soles", True), ("increased", False)]) == ["sales", "increased"] and model.decode([("the", True), ("zzz", True)]) == ["the", "zzz"]
 
 
+def test_lexicon_matches_brute_force(spark):
+    rnd = random.Random(6)
+    words = {"".join(rnd.choice("acelmnriu1") for _ in range(rnd.randint(1, 6))).replace("1", "d"): rnd.choice([1, 3, 500]) for _ in range(300)}
+    tokens = {"".join(rnd.choice("acelmnri10") for _ in range(rnd.randint(1, 6))) for _ in range(200)} - words.keys()
+    tokens |= {"internationalizationalism".replace("n", "ri", 2), "x1" * 14}
+    words["internationalizationalism"] = 9
+    df = lambda x, s: spark.createDataFrame(list(x), s)
+    real, options = scans.lexicon(df(words.items(), "item string, n long"), df(((t,) for t in tokens), "item string"))
+    want = {w for w, n in words.items() if not any(words.get(x, 0) * p / 1e-3 > scans.RATIO * n for x, p in scans.readings(w, 1).items())}
+    assert {r.item for r in real.collect()} == want
+    got = {r.token: {(o.word, round(o.p, 12)) for o in r.options} for r in options.collect()}
+    full = {t: {(w, round(p, 12)) for w, p in scans.readings(t, 1 if t in want else 2).items() if w in want and w != t} for t in words.keys() | {t for t in tokens if not t.isdigit()}}
+    assert {t for t, x in full.items() if x} == got.keys() and all({w for w, _ in got[t]} == {w for w, _ in full[t]} for t in got)
+    assert all(got[t] == full[t] for t in got if t not in want) and ("internationalizationalism", 1e-6) in got["iriterriationalizationalism"]
+
+
+def test_large_lexicon(noisy):
+    """Notes repaired in buckets, with what each asks for, come out as with the whole lexicon."""
+    plain = sorted((r.ord, tuple(r.kinds), r.repaired) for r in scans.repaired(noisy).collect())
+    assert sorted((r.ord, tuple(r.kinds), r.repaired) for r in scans.repaired(noisy, most_entries=0, buckets=3).collect()) == plain
+
+
+def test_repeated_corpus_gives_the_same(noisy):
+    once = sorted((r.ord, r.kind) for r in scans.noise(noisy).collect())
+    again = noisy.crossJoin(noisy.sparkSession.range(8).withColumnRenamed("id", "copy"))
+    again = again.select((F.col("ord") + F.col("copy") * 10_000).alias("ord"), "company", "type", "content")
+    assert sorted((r.ord % 10_000, r.kind) for r in scans.noise(again).collect()) == sorted(once * 8)
+
+
+def test_headers_without_the_name_and_with_a_legal_form(spark):
+    text = CLEAN[0].replace("largely ", "largely\n")
+    page = lambda i, head: (i, "ACME", "text_note", f"Company: ACME | Document: a.pdf | Page: {i} | Content: {head}{text}")
+    rows = [page(i, "2023 Annual Report\n") for i in range(6)] + [page(10 + i, "ACME, Inc. Annual Report 2023\n") for i in range(4)] + [page(20, "Overview\n"), page(21, "Note 7\n")]
+    got = {(r.ord, r.kind) for r in scans.noise(spark.createDataFrame(rows, "ord long, company string, type string, content string")).collect()}
+    assert got == {(i, "header") for i in (*range(6), *range(10, 14))}
+
+
+def test_clean_pages_stay_in_their_characters(spark):
+    df = spark.createDataFrame([(1, "A", "text_note", "x | Content: Ｎｅｔ sales rose."), (2, "A", "text_note", "x | Content: Ｎｅｔ sales\nrose.\n- 3 -")], "ord long, company string, type string, content string")
+    got = {r.ord: r.repaired for r in scans.repaired(df).collect()}
+    assert got == {1: "Ｎｅｔ sales rose.", 2: "Net sales rose."}
+
+
 # ---------------------------------------------------------------- p6
 
 
