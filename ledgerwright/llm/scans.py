@@ -134,11 +134,11 @@ def _bare_shape(line: str) -> str | None:
     return "\x01" + re.sub(r"\s+", " ", re.sub(r"\d+", "9", line)).strip().lower()
 
 
-_MIXED = re.compile(r"[0-9](?:(?<=[^\W\d_][0-9])|(?=[^\W\d_]))")
+_MIXED = re.compile(r"[0-9]{1,2}(?![0-9])(?:(?<=[^\W\d_][0-9])|(?<=[^\W\d_][0-9]{2})|(?=[^\W\d_]))")
 
 
 def _mixed(low: str) -> Iterator[str]:
-    """The tokens in which figures and letters touch."""
+    """The tokens in which letters touch one or two figures; more can't all be misread letters of a word."""
     for m in _MIXED.finditer(low):
         a = m.start()
         while a and low[a - 1].isalnum():
