@@ -19,6 +19,9 @@ class Engine:
         self._index: ranking.Index | None = None
 
     def add(self, passages: DataFrame) -> Engine:
+        """Adds passages behind those there are: every reader numbers its own rows, so they are moved past the last `ord`."""
+        last = self.passages.agg(F.max("ord")).first()[0]
+        passages = passages.withColumn("ord", F.col("ord") + (0 if last is None else last + 1))
         self.passages, self._index = self.passages.unionByName(passages, allowMissingColumns=True), None
         return self
 

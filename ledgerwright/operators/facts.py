@@ -54,10 +54,14 @@ DERIVED = {
     "op_income": "operating_income", "ebit": "operating_income", "ebitda": "operating_income + depreciation", "net_income_attributable": "net_income", "total_debt": "short_term_debt + long_term_debt",
     "total_borrowings": "short_term_debt + long_term_debt", "inv": "inventory", "ar": "accounts_receivable", "ap": "accounts_payable", "operating_expenses": "selling_expenses + sga + rd_expense",
     "nopat": "operating_income * (1 - abs(income_tax) / pretax_income)", "invested_capital": "short_term_debt + long_term_debt + shareholders_equity",
-    "tangible_book_value_per_share": "(shareholders_equity - goodwill) / shares_outstanding", "value_start": "revenue_old", "value_end": "revenue", "years": "1",
+    "tangible_book_value_per_share": "(shareholders_equity - goodwill) / shares_outstanding", "value_start": "revenue_first", "value_end": "max(0, revenue)", "years": "revenue_span",
 }
 
 
+# Beside the variables and those of the year before: the first revenue stated, if it is above nothing, and the years since.
+SPAN = ("revenue_first", "revenue_span")
+
+
 class Formula(ast.NodeVisitor):
     """Compiles the arithmetic of a formula to SQL; anything else is refused. `divide` writes a division that yields null by zero."""
 
@@ -101,7 +105,7 @@ class Formula(ast.NodeVisitor):
         raise ValueError(f"not allowed in a formula: {ast.dump(node)[:60]}")
 
 
-def formula_sql(text: str, divide, percent: bool = False, columns: tuple[str, ...] = tuple(ALIASES)) -> str:
+def formula_sql(text: str, divide, percent: bool = False, columns: tuple[str, ...] = (*ALIASES, *SPAN)) -> str:
     """SQL of a formula over the columns of the wide table; unknown variables are refused."""
 
     def variable(name: str) -> str:
@@ -156,11 +160,16 @@ def best_facts(facts: DataFrame) -> DataFrame:
 
 
 def wide_facts(facts: DataFrame) -> DataFrame:
-    """company, year and a column per variable, then each variable of the year before as <variable>_old (null unless it is the year before)."""
+    """company, year and a column per variable, then each variable of the year before as <variable>_old (null unless it is the
+    year before), and the first stated revenue with the years since."""
     wide = best_facts(facts).groupBy("company", "year").pivot("canonical", list(ALIASES)).agg(F.first("val"))
     by = W.partitionBy("company").orderBy("year")
     before = F.lag("year").over(by).cast("int") == F.col("year").cast("int") - 1
-    return wide.select("company", "year", *ALIASES, *(F.when(before, F.lag(v).over(by)).alias(f"{v}_old") for v in ALIASES))
+    since = by.rowsBetween(W.unboundedPreceding, 0)
+    first = F.first("revenue", ignorenulls=True).over(since)
+    span = F.col("year").cast("int") - F.min(F.when(F.col("revenue").isNotNull(), F.col("year"))).over(since).cast("int")
+    old = [F.when(before, F.lag(v).over(by)).alias(f"{v}_old") for v in ALIASES]
+    return wide.select("company", "year", *ALIASES, *old, F.when(first > 0, first).alias(SPAN[0]), span.cast("double").alias(SPAN[1]))
 
 
 def evaluate(wide: DataFrame, key: str) -> DataFrame:

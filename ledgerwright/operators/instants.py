@@ -1,26 +1,24 @@
 """Mixed timestamp notations and zones: one UTC instant and one UTC day per line.
 
-Method: notations are parsed by column expressions into a local time and what the text says about its zone. Zone offsets
-are a table of intervals of local time, exploded by zone and local year, so that an as-of join meets a handful of
-intervals per line: two that hold the local time mean it is ambiguous, none that it doesn't exist, one gives the offset.
-The interval table is as large as the zone database, whatever the data; it is the only thing broadcast besides the
-writers, whose number is checked. No line is shuffled and nothing but the interval table is made in Python.
+Method: the first characters of a line tell its notation, whose pattern then runs once and gives all parts; column
+expressions make a local time of them and what the text says about its zone. Zone offsets are a table of intervals of
+local time, exploded by zone and local year, made for the zones and years that occur. So an as-of join meets a handful
+of intervals per line: two that hold the local time mean it is ambiguous, none that it doesn't exist, one gives the
+offset. The table has a row per zone and year at most; it and the writers are broadcast after their number was checked.
 """
 
 from __future__ import annotations
 
 import zoneinfo
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwright.runtime import broadcast_if_small
+from ledgerwright.runtime import broadcast_if_small, cut
 
-#: Local years for which zones have intervals; times outside come out as unreadable.
-FIRST_YEAR, LAST_YEAR = 1970, 2069
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _DAY_US = 86_400_000_000
 
@@ -30,7 +28,7 @@ def _offset(zone: zoneinfo.ZoneInfo, at: int) -> tuple[int, str]:
     return int(t.utcoffset().total_seconds()), t.tzname() or ""
 
 
-def zone_intervals(name: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list[tuple[int, int, int, str]]:
+def zone_intervals(name: str, first: int, last: int) -> list[tuple[int, int, int, str]]:
     """(from, to, offset, abbreviation) in UTC seconds, in order, found by probing the zone every four weeks and bisecting."""
     zone = zoneinfo.ZoneInfo(name)
     at, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) + d * 86_400 for y, d in ((first, -2), (last + 1, 2)))
@@ -49,23 +47,21 @@ def zone_intervals(name: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) ->
     return out
 
 
-def interval_table(spark: SparkSession) -> DataFrame:
-    """zone, year, spans: per zone and local year the intervals that touch the year; one row per zone of the database and year."""
-    names = sorted(zoneinfo.available_timezones() | {"UTC"})
+def interval_table(occurring: DataFrame) -> DataFrame:
+    """zone, year, spans of the (zone, year) that occur: the intervals that touch the local year; none for an unknown zone."""
+    spans = "array<struct<lo:bigint,hi:bigint,off:bigint,abbr:string>>"
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = zoneinfo.available_timezones() | {"UTC"}
         for batch in batches:
             rows = []
-            for name in (names[i] for i in batch["id"]):
-                per: dict[int, list] = {}
-                for lo, hi, off, abbr in zone_intervals(name):
-                    years = [(datetime.fromtimestamp(t + off, UTC) + timedelta(0)).year for t in (lo, hi - 1)]
-                    for y in range(years[0], years[1] + 1):
-                        per.setdefault(y, []).append({"lo": (lo + off) * 1_000_000, "hi": (hi + off) * 1_000_000, "off": off * 1_000_000, "abbr": abbr})
-                rows += [(name, y, spans) for y, spans in per.items()]
+            for name, year in zip(batch["zone"], batch["year"]):
+                if name in known and 2 <= year <= 9998:
+                    made = zone_intervals(name, int(year), int(year))
+                    rows.append((name, year, [{"lo": (lo + off) * 1_000_000, "hi": (hi + off) * 1_000_000, "off": off * 1_000_000, "abbr": abbr} for lo, hi, off, abbr in made]))
             yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
-    return spark.range(0, len(names), 1, 16).mapInPandas(explode, "zone string, year int, spans array<struct<lo:bigint,hi:bigint,off:bigint,abbr:string>>")
+    return occurring.mapInPandas(explode, f"zone string, year int, spans {spans}")
 
 
 def _int(c: Column) -> Column:
@@ -86,77 +82,72 @@ def _year(text: Column) -> Column:
     return F.when(F.length(text) == 2, _int(text) + 2000).otherwise(_int(text))
 
 
-# Notations. Each gives: year, month name or first number, second number, clock, fraction, half of the day, zone text.
+# Notations: what they begin with, their pattern, and the groups of year, month, day, hour, minute, second, fraction, half of
+# the day and zone in them. The first one that a line begins like is tried.
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d{1,9}))?(?:\s*([AaPp][Mm])(?![A-Za-z]))?"
 _ZONE = r"\s*(\[?[A-Za-z][A-Za-z0-9_+\-/]*\]?|[+\-]\d{2}:?\d{2})?"
-_ISO = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})[T ]{_CLOCK}{_ZONE}$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})?()()" + _ZONE + "$"
-_RFC = rf"^(?:[A-Za-z]{{3,9}},? )?(\d{{1,2}})[- ]([A-Za-z]{{3,9}})[- ](\d{{4}}|\d{{2}}) {_CLOCK}{_ZONE}$"
-_US = rf"^([A-Za-z]{{3,9}}) (\d{{1,2}}),? (\d{{4}}) {_CLOCK}{_ZONE}$"
-_NUMBERS = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}|\d{{2}}) {_CLOCK}{_ZONE}$"
-_EPOCH = r"^(\d{9,19})(?:\.(\d{1,9}))?$"
+_TIMES = {
+    "epoch": (r"^\d{9,19}(?:\.|$)", r"^(\d{9,19})(?:\.(\d{1,9}))?$", "12"),
+    "iso": (r"^\d{4}[-/.]", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})[T ]{_CLOCK}{_ZONE}$", "123456789"),
+    "compact": (r"^\d{8}", r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})?()()" + _ZONE + "$", "123456789"),
+    "numbers": (r"^\d{1,2}[/.\-]\d", rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}|\d{{2}}) {_CLOCK}{_ZONE}$", "312456789"),
+    "rfc": (r"^(?:[A-Za-z]{3,9},? )?\d{1,2}[- ][A-Za-z]", rf"^(?:[A-Za-z]{{3,9}},? )?(\d{{1,2}})[- ]([A-Za-z]{{3,9}})[- ](\d{{4}}|\d{{2}}) {_CLOCK}{_ZONE}$", "321456789"),
+    "us": (r"^[A-Za-z]", rf"^([A-Za-z]{{3,9}}) (\d{{1,2}}),? (\d{{4}}) {_CLOCK}{_ZONE}$", "312456789"),
+}
 _DATES = {
-    "iso": r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "compact": r"^(\d{4})(\d{2})(\d{2})$", "rfc": r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ](\d{4}|\d{2})$",
-    "us": r"^([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})$", "numbers": r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$",
+    "iso": (r"^\d{4}[-/.]", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "123"), "compact": (r"^\d{8}$", r"^(\d{4})(\d{2})(\d{2})$", "123"),
+    "numbers": (r"^\d{1,2}[/.\-]\d", r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$", "312"), "rfc": (r"^\d{1,2}[- ][A-Za-z]", r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ](\d{4}|\d{2})$", "321"),
+    "us": (r"^[A-Za-z]", r"^([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})$", "312"),
 }
+_MARK = "\x1f"
 
 
-def _parts(text: Column, pattern: str, order: tuple[int, int, int] | None, dmy: Column, named: int = 0) -> Column:
-    """Day number of one notation; `order` holds the groups of year, month and day, None: by `dmy`. `named`: the group of a month's name."""
-    g = lambda i: F.regexp_extract(text, pattern, i)
-    if order is None:
-        a, b = _int(g(1)), _int(g(2))
-        return _day(_year(g(3)), F.when(dmy, b).otherwise(a), F.when(dmy, a).otherwise(b))
-    y, m, d = order
-    return _day(_year(g(y)), _month(g(m)) if named else _int(g(m)), _int(g(d)))
-
-
-def parsed_day(text: Column, dmy: Column) -> Column:
-    """The date a text names, or null. Numbers alone stand in the writer's order, or are null if the order isn't known."""
-    t = F.trim(text)
-    p = _DATES
-    return F.date_from_unix_date(
-        F.when(t.rlike(p["iso"]), _parts(t, p["iso"], (1, 2, 3), dmy))
-        .when(t.rlike(p["compact"]), _parts(t, p["compact"], (1, 2, 3), dmy))
-        .when(t.rlike(p["rfc"]), _parts(t, p["rfc"], (3, 2, 1), dmy, 2))
-        .when(t.rlike(p["us"]), _parts(t, p["us"], (3, 1, 2), dmy, 1))
-        .when(t.rlike(p["numbers"]) & dmy.isNotNull(), _parts(t, p["numbers"], None, dmy))
-    )
+def _taken_apart(text: Column, notations: dict[str, tuple[str, str, str]]) -> Column:
+    """[notation, parts in order]: one match per line; null if the text isn't in the notation it begins like."""
+    t, made = F.trim(text), None
+    for name, (begins, pattern, order) in notations.items():
+        parts = F.regexp_replace(t, pattern, _MARK.join([name, *(f"${g}" for g in order)]))
+        made = F.when(t.rlike(begins), parts) if made is None else made.when(t.rlike(begins), parts)
+    parts = F.split(made, _MARK)
+    return F.when(F.contains(made, F.lit(_MARK)), parts)
+
+
+def _day_of(p: Column, dmy: Column) -> Column:
+    """Day number of parts. Numbers alone stand in the writer's order, or give null if the order isn't known."""
+    kind, a, b = F.get(p, 0), F.get(p, 2), F.get(p, 3)
+    numbers = kind == "numbers"
+    month = F.when(numbers & dmy, _int(b)).when(kind.isin("rfc", "us"), _month(a)).otherwise(_int(a))
+    return F.when(~numbers | dmy.isNotNull(), _day(_year(F.get(p, 1)), month, F.when(numbers & dmy, _int(a)).otherwise(_int(b))))
+
+
+def parsed_day(parts: Column, dmy: Column) -> Column:
+    """The date of a text taken apart by _DATES, or null."""
+    return F.date_from_unix_date(_day_of(parts, dmy))
 
 
-def _clock(text: Column, pattern: str, first: int) -> Column:
-    """Microseconds of the day from the five groups that begin at `first`."""
-    h, m, s = (F.coalesce(_int(F.regexp_extract(text, pattern, first + i)), F.lit(0)) for i in range(3))
-    micros = _int(F.rpad(F.substring(F.regexp_extract(text, pattern, first + 3), 1, 6), 6, "0"))
-    half = F.lower(F.regexp_extract(text, pattern, first + 4))
+def _clock(p: Column) -> Column:
+    """Microseconds of the day."""
+    h, m, s = (F.coalesce(_int(F.get(p, i)), F.lit(0)) for i in (4, 5, 6))
+    micros = _int(F.rpad(F.substring(F.get(p, 7), 1, 6), 6, "0"))
+    half = F.lower(F.get(p, 8))
     ok = (m < 60) & (s < 60) & F.when(half == "", h < 24).otherwise(h.between(1, 12))
     h = F.when(half == "", h).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0))
     return F.when(ok, ((h * 60 + m) * 60 + s).cast("bigint") * 1_000_000 + F.coalesce(micros, F.lit(0)))
 
 
-def _epoch(text: Column) -> Column:
+def _epoch(p: Column) -> Column:
     """UTC microseconds of a count of seconds, milli-, micro- or nanoseconds, told apart by its length."""
-    n = F.regexp_extract(text, _EPOCH, 1)
+    n = F.get(p, 1)
     size, whole = F.length(n), n.try_cast("bigint")
-    micros = F.coalesce(_int(F.rpad(F.substring(F.regexp_extract(text, _EPOCH, 2), 1, 6), 6, "0")), F.lit(0))
+    micros = F.coalesce(_int(F.rpad(F.substring(F.get(p, 2), 1, 6), 6, "0")), F.lit(0))
     return F.when(size <= 11, whole * 1_000_000 + micros).when(size.between(12, 14), whole * 1000).when(size.between(15, 17), whole).when(size >= 18, F.floor(whole / 1000))
 
 
-def parsed_time(text: Column, dmy: Column) -> Column:
-    """struct<utc, local, zone>: microseconds since 1970 in UTC, or of the wall clock, and the zone text, '' if none."""
-    t = F.trim(text)
-    shapes = [
-        (_ISO, (1, 2, 3), 0, 4), (_COMPACT, (1, 2, 3), 0, 4), (_RFC, (3, 2, 1), 2, 4), (_US, (3, 1, 2), 1, 4), (_NUMBERS, None, 0, 4),
-    ]
-    local = zone = None
-    for pattern, order, named, clock in shapes:
-        hit = t.rlike(pattern) & (dmy.isNotNull() if order is None else F.lit(True))
-        value = _parts(t, pattern, order, dmy, named).cast("bigint") * _DAY_US + _clock(t, pattern, clock)
-        where = F.regexp_extract(t, pattern, clock + 5)
-        local = F.when(hit, value) if local is None else local.when(hit, value)
-        zone = F.when(hit, where) if zone is None else zone.when(hit, where)
-    epoch = t.rlike(_EPOCH)
-    return F.struct(F.when(epoch, _epoch(t)).alias("utc"), F.when(~epoch, local).alias("local"), F.when(~epoch, F.regexp_replace(zone, r"[\[\]]", "")).alias("zone"))
+def parsed_time(parts: Column, dmy: Column) -> Column:
+    """struct<utc, local, zone> of a text taken apart by _TIMES: microseconds since 1970 in UTC, or of the wall clock, and the zone text, '' if none."""
+    epoch = F.get(parts, 0) == "epoch"
+    local = _day_of(parts, dmy).cast("bigint") * _DAY_US + _clock(parts)
+    return F.struct(F.when(epoch, _epoch(parts)).alias("utc"), F.when(~epoch, local).alias("local"), F.when(~epoch, F.regexp_replace(F.get(parts, 9), r"[\[\]]", "")).alias("zone"))
 
 
 def normalise(lines: DataFrame, writers: DataFrame, ts: str = "ts", date: str = "date", key: str = "ledger_id", writer: str = "pid") -> DataFrame:
@@ -172,7 +163,8 @@ def normalise(lines: DataFrame, writers: DataFrame, ts: str = "ts", date: str =
     src = lines.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(date).alias("_date"), F.col(writer).alias("_w"))
     src = src.join(broadcast_if_small(who), "_w", "left")
     dmy = F.when(F.col("_order").isin("dmy", "mdy"), F.col("_order") == "dmy")
-    src = src.select("_k", "_home", parsed_time(F.col("_ts"), dmy).alias("_t"), parsed_day(F.col("_date"), dmy).alias("_written"))
+    src = src.select("_k", "_home", dmy.alias("_dmy"), _taken_apart(F.col("_ts"), _TIMES).alias("_a"), _taken_apart(F.col("_date"), _DATES).alias("_b"))
+    src = src.select("_k", "_home", parsed_time(F.col("_a"), F.col("_dmy")).alias("_t"), parsed_day(F.col("_b"), F.col("_dmy")).alias("_written"))
     z = F.col("_t.zone")
     signed = z.rlike(r"^[+\-]\d{2}:?\d{2}$")
     digits = F.regexp_replace(z, "[^0-9]", "")
@@ -184,7 +176,9 @@ def normalise(lines: DataFrame, writers: DataFrame, ts: str = "ts", date: str =
         "_k", "_written", F.col("_t.utc").alias("_utc"), F.col("_t.local").alias("_local"), fixed.alias("_fixed"), abbr.alias("_abbr"),
         F.when(named, z).otherwise(F.col("_home")).alias("zone"), F.year(F.date_from_unix_date(F.floor(F.col("_t.local") / _DAY_US).cast("int"))).alias("year"),
     )
-    src = src.join(F.broadcast(interval_table(lines.sparkSession)), ["zone", "year"], "left")
+    local_only = F.col("_fixed").isNull() & F.col("_local").isNotNull()
+    occurring = src.where(local_only & F.col("zone").isNotNull()).select("zone", "year").distinct()
+    src = src.join(broadcast_if_small(cut(interval_table(occurring))), ["zone", "year"], "left")
     right_name = lambda s: F.col("_abbr").isNull() | (F.upper(s["abbr"]) == F.col("_abbr"))
     holding = F.filter("spans", lambda s: (s["lo"] <= F.col("_local")) & (F.col("_local") < s["hi"]) & right_name(s))
     # an abbreviation that isn't in force at that local time still names an offset of the zone

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwright.runtime import cut
+
 # The measures of the operating data and what they measure.
 MEASURES = {
     "Electricity used": "energy", "Selling area": "area", "Fuel burned": "volume", "Dividend per share": "money", "Capital commitments": "money",
@@ -250,6 +252,7 @@ def contradictions(df: DataFrame, key: str = "ord", tolerance: float = 0.02, **c
     bucket = F.when(v == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(step, F.abs(v))) * 2 + F.when(v < 0, 1).otherwise(0))
     said = common_values(df, key=key, **columns).where("company IS NOT NULL").select(F.col(key).alias("k"), F.xxhash64("company", "measure", "fiscal_year").alias("g"), "company", "measure", "fiscal_year", "value", bucket.cast("bigint").alias("b"))
     group = ["g", "company", "measure", "fiscal_year"]
+    said = cut(said)  # read several times below: the texts are parsed once
     several = said.groupBy(*group).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select(*group)
     said = said.join(several, group, "left_semi")
     buckets = said.select(*group, "b").distinct()

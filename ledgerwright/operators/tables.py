@@ -52,8 +52,9 @@ def encode(headers: Column, rows: Column) -> Column:
 
 def linearised(headers: Column, row: Column, company: Column) -> Column:
     """A table row as one text: company, label, then each caption with its cell; empty cells are left out."""
-    pairs = F.filter(F.arrays_zip(headers.alias("h"), row.alias("c")), lambda p: F.coalesce(p["c"], F.lit("")) != "")
-    said = F.transform(F.slice(pairs, 2, F.size(pairs)), lambda p: F.concat(p["h"], F.lit(": "), p["c"]))
+    pairs = F.arrays_zip(headers.alias("h"), row.alias("c"))
+    stated = F.filter(F.slice(pairs, 2, F.size(pairs)), lambda p: F.coalesce(p["c"], F.lit("")) != "")
+    said = F.transform(stated, lambda p: F.concat(p["h"], F.lit(": "), p["c"]))
     return F.concat_ws(" | ", F.concat(F.lit("Company: "), company), F.concat(F.lit("Line Item: "), F.get(row, 0)), F.array_join(said, " | "))
 
 

@@ -62,7 +62,12 @@ def sessions(stamped: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 
 def within_runs(ledger: DataFrame, runs: DataFrame) -> DataFrame:
-    """run, calls, tokens: what was read between the start and end of each run (a range join on the bounded runs)."""
-    d = tidy(ledger).select("read_at", "tokens")
-    hit = runs.join(d, (d["read_at"] >= runs["starts"]) & (d["read_at"] < runs["ends"]), "left")
-    return hit.groupBy("run").agg(F.count("read_at").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    """run, calls, tokens: what was read between the start and end of each run; runs without lines have none.
+
+    Ledger and runs meet on the days they touch, so the join has a key and neither side must be broadcast.
+    """
+    d = tidy(ledger).where("read_at IS NOT NULL").select("read_at", "tokens", F.to_date("read_at").alias("day"))
+    first, last = F.to_date("starts"), F.to_date("ends")
+    days = runs.where("starts < ends").select("run", "starts", "ends", F.explode(F.sequence(first, last)).alias("day"))
+    hit = days.join(d, "day").where("read_at >= starts AND read_at < ends").groupBy("run").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    return runs.select("run").distinct().join(hit, "run", "left").select("run", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("tokens", F.lit(0)).alias("tokens"))

@@ -90,6 +90,11 @@ _WIDE = (
   wide0 AS (SELECT company, year, {", ".join(f"max(val) FILTER (WHERE canonical = '{v}') AS {v}" for v in facts.ALIASES)} FROM best GROUP BY company, year),
   wide AS (SELECT *, {", ".join(f"CASE WHEN CAST(lag(year) OVER w AS INT) = CAST(year AS INT) - 1 THEN lag({v}) OVER w END AS {v}_old" for v in facts.ALIASES)} FROM wide0 WINDOW w AS (PARTITION BY company ORDER BY year))"""
 )
+_WIDE = _WIDE.replace(
+    "wide AS (SELECT *,",
+    "wide AS (SELECT *, CASE WHEN first_value(revenue IGNORE NULLS) OVER since > 0 THEN first_value(revenue IGNORE NULLS) OVER since END AS revenue_first, "
+    "(CAST(year AS INT) - CAST(min(CASE WHEN revenue IS NOT NULL THEN year END) OVER since AS INT))::DOUBLE AS revenue_span,",
+)[:-1] + ", since AS (PARTITION BY company ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 _DIVIDE = lambda a, b: f"({a} / nullif({b}, 0))"
 
 
@@ -215,11 +220,11 @@ def period_average(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- tables, chunks, pages
 
-_PARENTS = "par AS (SELECT parent_id, min(parent_content) AS t FROM passages WHERE parent_content IS NOT NULL GROUP BY ALL)"
+_PARENTS = "par AS (SELECT DISTINCT parent_id, parent_content AS t, md5(parent_content) AS digest FROM passages WHERE parent_content IS NOT NULL)"
 _CELLS = lambda c: f"list_transform(string_split(regexp_replace(trim({c}), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(x))"
-_DECODED = f"""WITH {_PARENTS}, l AS (SELECT parent_id, list_filter(string_split(t, chr(10)), lambda x: starts_with(trim(x), '|')) AS ls FROM par),
-  r AS (SELECT parent_id, {_CELLS("ls[1]")} AS headers, ls, unnest(range(3, len(ls) + 1)) AS i FROM l WHERE len(ls) >= 3 AND len(list_filter(ls, lambda x: regexp_full_match(trim(x), '\\|?(\\s*:?-{{3,}}:?\\s*\\|)+\\s*:?-*:?\\s*\\|?'))) > 0),
-  dec AS (SELECT parent_id, headers, CAST(i - 3 AS INT) AS row_ix, {_CELLS("ls[i]")} AS row FROM r)"""
+_DECODED = f"""WITH {_PARENTS}, l AS (SELECT parent_id, digest, list_filter(string_split(t, chr(10)), lambda x: starts_with(trim(x), '|')) AS ls FROM par),
+  r AS (SELECT parent_id, digest, {_CELLS("ls[1]")} AS headers, ls, unnest(range(3, len(ls) + 1)) AS i FROM l WHERE len(ls) >= 3 AND len(list_filter(ls, lambda x: regexp_full_match(trim(x), '\\|?(\\s*:?-{{3,}}:?\\s*\\|)+\\s*:?-*:?\\s*\\|?'))) > 0),
+  dec AS (SELECT parent_id, digest, headers, CAST(i - 3 AS INT) AS row_ix, {_CELLS("ls[i]")} AS row FROM r)"""
 
 
 @query(_DECODED + " SELECT parent_id, row_ix, array_to_string(headers, ';') AS headers, array_to_string(row, ';') AS cells FROM dec")
@@ -228,24 +233,24 @@ def markdown_decode(spark: SparkSession, d: str) -> DataFrame:
     return x.select("parent_id", "row_ix", F.array_join("headers", ";").alias("headers"), F.array_join("row", ";").alias("cells"))
 
 
-@query(_DECODED + """, g AS (SELECT parent_id, any_value(headers) AS h, list(row ORDER BY row_ix) AS rows FROM dec GROUP BY parent_id)
+@query(_DECODED + """, g AS (SELECT parent_id, digest, any_value(headers) AS h, list(row ORDER BY row_ix) AS rows FROM dec GROUP BY parent_id, digest)
 SELECT parent_id, '| ' || array_to_string(h, ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(h)) || chr(10) || array_to_string(list_transform(list_filter(rows, lambda r: array_to_string(r, '') <> ''), lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS markdown FROM g""")
 def markdown_encode(spark: SparkSession, d: str) -> DataFrame:
     x = tables.decode(_passages(spark, d)).groupBy("parent_id", "digest").agg(F.first("headers").alias("h"), F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "row"))), lambda r: r["row"]).alias("rows"))
     return x.select("parent_id", tables.encode(F.col("h"), F.col("rows")).alias("markdown"))
 
 
-_UNPIVOT = _DECODED + f""", c AS (SELECT parent_id, row_ix, row[1] AS item, unnest(headers) AS h, unnest(row) AS c FROM dec),
-  long AS (SELECT parent_id, row_ix, item, nullif(regexp_extract(trim(h), '^(?:FY|Fiscal )?\\s*((?:19|20)\\d\\d)$', 1), '') AS year, {_NUM("c")} AS val FROM c)"""
+_UNPIVOT = _DECODED + f""", c AS (SELECT parent_id, digest, row_ix, row[1] AS item, unnest(headers) AS h, unnest(row) AS c FROM dec),
+  long AS (SELECT parent_id, digest, row_ix, item, nullif(regexp_extract(trim(h), '^(?:FY|Fiscal )?\\s*((?:19|20)\\d\\d)$', 1), '') AS year, {_NUM("c")} AS val FROM c)"""
 
 
-@query(_UNPIVOT + " SELECT * FROM long WHERE year IS NOT NULL AND val IS NOT NULL")
+@query(_UNPIVOT + " SELECT * EXCLUDE (digest) FROM long WHERE year IS NOT NULL AND val IS NOT NULL")
 def unpivot_facts(spark: SparkSession, d: str) -> DataFrame:
     return tables.unpivot(tables.decode(_passages(spark, d))).drop("digest")
 
 
-@query(_UNPIVOT + """, f AS (SELECT *, min(row_ix) OVER (PARTITION BY parent_id, item, year, val) AS first FROM long WHERE year IS NOT NULL AND val IS NOT NULL)
-SELECT parent_id, row_ix, item, year, val, dense_rank() OVER (PARTITION BY parent_id, item, year ORDER BY first) - 1 AS dup FROM f""")
+@query(_UNPIVOT + """, f AS (SELECT *, min(row_ix) OVER (PARTITION BY parent_id, digest, item, year, val) AS first FROM long WHERE year IS NOT NULL AND val IS NOT NULL)
+SELECT parent_id, row_ix, item, year, val, dense_rank() OVER (PARTITION BY parent_id, digest, item, year ORDER BY first) - 1 AS dup FROM f""")
 def duplicate_suffixes(spark: SparkSession, d: str) -> DataFrame:
     return tables.duplicate_suffixes(tables.unpivot(tables.decode(_passages(spark, d)))).drop("digest")
 
@@ -279,9 +284,9 @@ def section_carry(spark: SparkSession, d: str) -> DataFrame:
 _SECTION = "CASE " + " ".join(f"WHEN regexp_matches(lower(substr(text, 1, 600)), '{p}') THEN '{s}'" for s, p in pages.SECTIONS) + " END"
 
 
-@query(f"SELECT doc_id, {_SECTION} AS section, array_to_string(regexp_extract_all(substr(text, 1, 400), '((?:19|20)\\d\\d)', 1), ',') AS years FROM documents WHERE text IS NOT NULL AND {_SECTION} IS NOT NULL")
+@query(f"SELECT doc_id, {_SECTION} AS section, array_to_string(list_filter(regexp_extract_all(substr(text, 1, 400), '((?:19|20)\\d\\d)', 1), lambda y, i: list_position(regexp_extract_all(substr(text, 1, 400), '((?:19|20)\\d\\d)', 1), y) = i), ',') AS years FROM documents WHERE text IS NOT NULL AND {_SECTION} IS NOT NULL")
 def section_detect(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", pages.section_of(F.col("text")).alias("section"), F.array_join(F.regexp_extract_all(F.substring("text", 1, 400), F.lit(r"((?:19|20)\d\d)"), F.lit(1)), ",").alias("years"))
+    x = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", pages.section_of(F.col("text")).alias("section"), F.array_join(pages.year_headers(F.col("text")), ",").alias("years"))
     return x.where("section IS NOT NULL")
 
 
@@ -474,8 +479,8 @@ def composite_sum(spark: SparkSession, d: str) -> DataFrame:
     return series.composites(facts.best_facts(_facts(spark, d)), _COMPOSITES)
 
 
-@query(_DECODED + """, r2 AS (SELECT parent_id, row_ix, row[1] AS item FROM dec), e AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(lower(item), '^(change|changes) in') THEN true WHEN regexp_matches(lower(item), 'net cash|cash from') THEN false END IGNORE NULLS)
-  OVER (PARTITION BY parent_id ORDER BY row_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM r2)
+@query(_DECODED + """, r2 AS (SELECT parent_id, digest, row_ix, row[1] AS item FROM dec), e AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(lower(item), '^(change|changes) in') THEN true WHEN regexp_matches(lower(item), 'net cash|cash from') THEN false END IGNORE NULLS)
+  OVER (PARTITION BY parent_id, digest ORDER BY row_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM r2)
 SELECT parent_id, row_ix, CASE WHEN inside AND NOT regexp_matches(lower(item), '^(change|changes) in') THEN 'Change in ' || item ELSE item END AS label FROM e""")
 def change_labels(spark: SparkSession, d: str) -> DataFrame:
     return series.change_labels(tables.decode(_passages(spark, d)).select("parent_id", "digest", "row_ix", F.get("row", F.lit(0)).alias("item"))).drop("digest")

@@ -48,12 +48,18 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the folder the cluster names.
+    """`df` with its lineage cut by a reliable checkpoint in the folder the cluster names, spark.checkpoint.dir.
 
-    spark.checkpoint.dir is respected; a folder of our own is made only where it is unset.
+    Only where the driver is the one executor (local mode) may it be unset: a folder of our own is made then, and removed
+    at the end. On a cluster it would be on the disk of one machine, so it is refused. What is no longer used is removed by
+    spark.cleaner.referenceTracking.cleanCheckpoints, if the session has it.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None and (named := spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(named)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="ledgerwright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)

@@ -37,8 +37,8 @@ def read_prose(spark: SparkSession, path: str, size: int = tables.CHUNK, overlap
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Any JSON file as chunks of its text, kept whole in raw_data."""
     src = spark.read.text(path, wholetext=True).select(_stem(F.input_file_name()).alias("company"), "value").where("trim(value) <> ''")
-    c = src.select("company", F.posexplode(tables.windows(T.cleaned(F.col("value")))).alias("n", "body"))
-    return _passages(c.select(F.concat(F.lit("json_"), "company", F.lit("_"), "n").alias("id"), "company", F.lit("Uploaded JSON").alias("period"), F.col("body").alias("content"), F.lit("text_note").alias("type")))
+    c = src.select("company", F.col("value").alias("raw_data"), F.posexplode(tables.windows(T.cleaned(F.col("value")))).alias("n", "body"))
+    return _passages(c.select("raw_data", F.concat(F.lit("json_"), "company", F.lit("_"), "n").alias("id"), "company", F.lit("Uploaded JSON").alias("period"), F.col("body").alias("content"), F.lit("text_note").alias("type")))
 
 
 def read_csv(spark: SparkSession, path: str, company: str | None = None) -> DataFrame:

@@ -182,6 +182,39 @@ def test_sources_and_engine(spark, tmp_path):
     assert readers.read_store(spark, str(tmp_path / "store"), "GAMMA").count() == 3 and readers.newest(spark, str(tmp_path / "store")).first().files > 0
 
 
+def test_ingests_of_two_companies_stay_apart(spark):
+    e = Engine(spark).ingest_text("ACME", "a", "inventory fell").ingest_text("BETA", "b", "inventory rose").ingest_text("ACME", "c", "inventory fell again")
+    assert sorted(r.ord for r in e.passages.collect()) == sorted({r.ord for r in e.passages.collect()}) and e.passages.count() == 3
+    company = {r.ord: r.company for r in e.passages.collect()}
+    got = e.search("inventory", "ACME").collect()
+    assert len(got) == 2 == len({r.ord for r in got}) and {company[r.ord] for r in got} == {"ACME"}
+
+
+def test_runs_meet_the_ledger_by_day(spark):
+    import datetime as dt
+
+    at = dt.datetime(2025, 1, 1, 23, 50)
+    lines = [(i, "t", "d", 1, "m", "c", 1, 1, 0, 10, 5, at + dt.timedelta(minutes=20 * i)) for i in range(4)]
+    d = spark.createDataFrame(lines, "ledger_id long, ts string, date string, pid int, model string, caller string, prompt_tokens long, completion_tokens long, reasoning_tokens long, total_tokens long, prompt_chars int, read_at timestamp")
+    d = d.withColumn("ts", F.col("ledger_id").cast("string"))
+    runs = spark.createDataFrame([("a", at, at + dt.timedelta(minutes=40)), ("b", at + dt.timedelta(days=9), at + dt.timedelta(days=10)), ("c", at + dt.timedelta(minutes=40), at + dt.timedelta(days=1))], "run string, starts timestamp, ends timestamp")
+    made = usage.within_runs(d, runs)
+    assert {r.run: (r.calls, r.tokens) for r in made.collect()} == {"a": (2, 20), "b": (0, 0), "c": (2, 20)}
+    assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growth_over_the_stated_span(spark):
+    rows = [("A", i, "x", "table_row", "s", json.dumps({"line_item": "Net sales", y: str(v)})) for i, (y, v) in enumerate((("2020", 100), ("2021", 50), ("2022", 121)))]
+    d = spark.createDataFrame(rows, "company string, ord long, content string, type string, section string, raw_data string")
+    got = {r.year: r.value for r in facts.evaluate(facts.wide_facts(facts.row_facts(d)), "cagr_generic").collect()}
+    assert got == {"2021": -50.0, "2022": 10.0}
+
+
+def test_a_row_without_label_keeps_its_first_value(spark):
+    d = spark.createDataFrame([(["Item", "2023", "2022"], ["", "5", ""], "A")], "h array<string>, r array<string>, c string")
+    assert d.select(tables.linearised(F.col("h"), F.col("r"), F.col("c"))).first()[0] == "Company: A | Line Item:  | 2023: 5"
+
+
 def test_streams(spark, tmp_path):
     line = lambda t, pid, n: {"ts": t, "date": t[:10], "pid": pid, "model": "m", "caller": "answer", "total_tokens": n}
     lines = [line("2025-01-01T10:00:00Z", 1, 60), line("2025-01-01T10:01:00Z", 1, 60), line("2025-01-01T10:20:00Z", 2, None), line("n/a", 2, 5)]

@@ -33,6 +33,14 @@ def test_notations(spark):
     assert readings["2025-11-02 01:30:00"] == "ambiguous" and readings["2025-03-09 02:30:00"] == "nonexistent" and readings["n/a"] == "unreadable"
 
 
+def test_far_years_and_large_interval_tables(spark):
+    rows = [(1, "1890-07-01 12:00:00", None, 2), (2, "2150-07-01 12:00:00 America/New_York", None, 2), (3, "2025-01-06 06:00:00 Nowhere/Land", None, 2)]
+    lines = spark.createDataFrame(rows, "ledger_id long, ts string, date string, pid int")
+    writers = spark.createDataFrame(WRITERS, "pid int, zone_name string, day_order string, role_name string")
+    got = {r.ledger_id: (r.utc_instant and r.utc_instant.isoformat(), r.reading) for r in instants.normalise(lines, writers).collect()}
+    assert got[2] == ("2150-07-01T16:00:00", "unique") and got[1][1] == "unique" and got[1][0].startswith("1890-07-01T11:06") and got[3] == (None, "unreadable")
+
+
 def test_days(spark):
     rows = [(1, None, "01/08/2025", 1), (2, None, "01/08/2025", 2), (3, None, "20250108", 1), (4, "1736142665", "2025-01-07", 1), (5, "1736142665", "Jan 6, 2025", 1), (6, "n/a", "2025-01-07", 1), (7, "1736142665", None, 1), (8, None, "01/08/2025", 5), (9, None, "08.01.2025", 2)]
     lines = spark.createDataFrame(rows, "ledger_id long, ts string, date string, pid int")
