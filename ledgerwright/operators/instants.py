@@ -10,7 +10,7 @@ offset. The table has a row per zone and year at most; it and the writers are br
 from __future__ import annotations
 
 import zoneinfo
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -47,18 +47,24 @@ def zone_intervals(name: str, first: int, last: int) -> list[tuple[int, int, int
     return out
 
 
+def _known(name: str) -> bool:
+    try:
+        return bool(zoneinfo.ZoneInfo(name))
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+        return False
+
+
 def interval_table(occurring: DataFrame) -> DataFrame:
     """zone, year, spans of the (zone, year) that occur: the intervals that touch the local year; none for an unknown zone."""
     spans = "array<struct<lo:bigint,hi:bigint,off:bigint,abbr:string>>"
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = zoneinfo.available_timezones() | {"UTC"}
         for batch in batches:
             rows = []
             for name, year in zip(batch["zone"], batch["year"]):
-                if name in known and 2 <= year <= 9998:
+                if name is not None and pd.notna(year) and 2 <= year <= 9998 and _known(name):
                     made = zone_intervals(name, int(year), int(year))
-                    rows.append((name, year, [{"lo": (lo + off) * 1_000_000, "hi": (hi + off) * 1_000_000, "off": off * 1_000_000, "abbr": abbr} for lo, hi, off, abbr in made]))
+                    rows.append((name, int(year), [{"lo": (lo + off) * 1_000_000, "hi": (hi + off) * 1_000_000, "off": off * 1_000_000, "abbr": abbr} for lo, hi, off, abbr in made]))
             yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
     return occurring.mapInPandas(explode, f"zone string, year int, spans {spans}")
@@ -120,9 +126,14 @@ def _day_of(p: Column, dmy: Column) -> Column:
     return F.when(~numbers | dmy.isNotNull(), _day(_year(F.get(p, 1)), month, F.when(numbers & dmy, _int(a)).otherwise(_int(b))))
 
 
-def parsed_day(parts: Column, dmy: Column) -> Column:
-    """The date of a text taken apart by _DATES, or null."""
-    return F.date_from_unix_date(_day_of(parts, dmy))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is made once, however often it is used and wherever the optimiser puts the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def parsed_day(text: Column, dmy: Column) -> Column:
+    """The date a text names, or null."""
+    return _once(_taken_apart(text, _DATES), lambda p: F.date_from_unix_date(_day_of(p, dmy)))
 
 
 def _clock(p: Column) -> Column:
@@ -143,11 +154,15 @@ def _epoch(p: Column) -> Column:
     return F.when(size <= 11, whole * 1_000_000 + micros).when(size.between(12, 14), whole * 1000).when(size.between(15, 17), whole).when(size >= 18, F.floor(whole / 1000))
 
 
-def parsed_time(parts: Column, dmy: Column) -> Column:
-    """struct<utc, local, zone> of a text taken apart by _TIMES: microseconds since 1970 in UTC, or of the wall clock, and the zone text, '' if none."""
-    epoch = F.get(parts, 0) == "epoch"
-    local = _day_of(parts, dmy).cast("bigint") * _DAY_US + _clock(parts)
-    return F.struct(F.when(epoch, _epoch(parts)).alias("utc"), F.when(~epoch, local).alias("local"), F.when(~epoch, F.regexp_replace(F.get(parts, 9), r"[\[\]]", "")).alias("zone"))
+def parsed_time(text: Column, dmy: Column) -> Column:
+    """struct<utc, local, zone>: microseconds since 1970 in UTC, or of the wall clock, and the zone text, '' if none."""
+
+    def read(p: Column) -> Column:
+        epoch = F.get(p, 0) == "epoch"
+        local = _day_of(p, dmy).cast("bigint") * _DAY_US + _clock(p)
+        return F.struct(F.when(epoch, _epoch(p)).alias("utc"), F.when(~epoch, local).alias("local"), F.when(~epoch, F.regexp_replace(F.get(p, 9), r"[\[\]]", "")).alias("zone"))
+
+    return _once(_taken_apart(text, _TIMES), read)
 
 
 def normalise(lines: DataFrame, writers: DataFrame, ts: str = "ts", date: str = "date", key: str = "ledger_id", writer: str = "pid") -> DataFrame:
@@ -163,8 +178,7 @@ def normalise(lines: DataFrame, writers: DataFrame, ts: str = "ts", date: str =
     src = lines.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(date).alias("_date"), F.col(writer).alias("_w"))
     src = src.join(broadcast_if_small(who), "_w", "left")
     dmy = F.when(F.col("_order").isin("dmy", "mdy"), F.col("_order") == "dmy")
-    src = src.select("_k", "_home", dmy.alias("_dmy"), _taken_apart(F.col("_ts"), _TIMES).alias("_a"), _taken_apart(F.col("_date"), _DATES).alias("_b"))
-    src = src.select("_k", "_home", parsed_time(F.col("_a"), F.col("_dmy")).alias("_t"), parsed_day(F.col("_b"), F.col("_dmy")).alias("_written"))
+    src = src.select("_k", "_home", parsed_time(F.col("_ts"), dmy).alias("_t"), parsed_day(F.col("_date"), dmy).alias("_written"))
     z = F.col("_t.zone")
     signed = z.rlike(r"^[+\-]\d{2}:?\d{2}$")
     digits = F.regexp_replace(z, "[^0-9]", "")
@@ -177,7 +191,8 @@ def normalise(lines: DataFrame, writers: DataFrame, ts: str = "ts", date: str =
         F.when(named, z).otherwise(F.col("_home")).alias("zone"), F.year(F.date_from_unix_date(F.floor(F.col("_t.local") / _DAY_US).cast("int"))).alias("year"),
     )
     local_only = F.col("_fixed").isNull() & F.col("_local").isNotNull()
-    occurring = src.where(local_only & F.col("zone").isNotNull()).select("zone", "year").distinct()
+    # no filter: it would be pushed below the parsing and parse once more for each of its columns
+    occurring = src.select(F.when(local_only, F.col("zone")).alias("zone"), F.when(local_only, F.col("year")).alias("year")).distinct()
     src = src.join(broadcast_if_small(cut(interval_table(occurring))), ["zone", "year"], "left")
     right_name = lambda s: F.col("_abbr").isNull() | (F.upper(s["abbr"]) == F.col("_abbr"))
     holding = F.filter("spans", lambda s: (s["lo"] <= F.col("_local")) & (F.col("_local") < s["hi"]) & right_name(s))
