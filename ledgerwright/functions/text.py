@@ -61,6 +61,17 @@ def company_key(name: Column) -> Column:
     return F.array_join(F.filter(F.split(low, r"\s+"), lambda w: (w != "") & ~w.rlike(r"^(20\d\d)(q[1-4])?$|^(10k|10q|8k)$")), " ")
 
 
+def names_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    """Which of the terms a text names as words of their own, also with a plural s."""
+    edge = r"[^\p{L}\p{N}_]"
+
+    def named(low: Column) -> Column:
+        whole = lambda t: F.regexp_like(low, F.concat(F.lit(f"(^|{edge})\\Q"), t, F.lit(f"\\Es?({edge}|$)")))
+        return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t) & whole(t))
+
+    return F.get(F.transform(F.array(F.lower(text)), named), 0)
+
+
 def filing_year(name: Column) -> Column:
     """The year a filing's name carries, with its quarter if there is one."""
     return F.nullif(F.upper(F.regexp_extract(F.lower(name), r"(20\d\d(?:q[1-4])?)", 1)), F.lit(""))

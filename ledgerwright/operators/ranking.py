@@ -7,17 +7,37 @@ read once for the index and once, for the candidates' rules; the index itself ca
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerwright.functions import text as T
+from ledgerwright.operators.facts import ALIASES
 from ledgerwright.runtime import cut, spread
 
 # The BM25 constants, the weights of its parts, and the least score.
 K1, B, W_BM25, W_OVERLAP, LEAST = 1.2, 0.75, 0.7, 0.3, 0.01
 # Factors of the rules.
-RULES = {"total_row_boost": 1.3, "low_confidence_column_penalty": 0.5, "year_match_boost": 1.4, "statement_type_hint_boost": 1.5}
+RULES = {
+    "line_item_match": 1.5, "total_row_boost": 1.3, "inventory_composition_boost": 3.0, "preferred_filing_year_boost": 1.3, "low_confidence_column_penalty": 0.5,
+    "year_match_boost": 1.4, "statement_type_hint_boost": 1.5,
+}
+# Factors of how well a passage's filing fits the one a question names: the same, one within the other, some
+# words in common, the same company in another period, another company.
+COMPANY_TIERS = {"exact": 2.0, "contained": 1.8, "partial": 1.2, "other_period": 0.4, "other": 0.05}
+# What a breakdown of inventories is labelled with, and line items that mark a statement.
+COMPOSITION = r"\b(finished\s+goods|merchandise\s+inventor(y|ies)|fuel\s+inventory|raw\s+materials\s+and\s+supplies|goods\s+in\s+process|spare\s+parts\s+and\s+supplies)\b"
+CORE_ITEMS = {
+    "income_statement": ("revenue", "net revenue", "net sales", "total revenue", "cost of revenue", "cost of goods sold", "cost of sales", "gross profit", "operating income", "net income", "net earnings"),
+    "balance_sheet": ("total assets", "total liabilities", "total current assets", "total current liabilities", "total stockholders equity", "total shareholders equity"),
+    "cash_flow": ("capital expenditures", "net cash provided by operating activities", "net cash used in operating activities", "net increase in cash", "net decrease in cash"),
+}
+WHAT_RULES_DO = {
+    "company_match": "scales by how well the passage's filing fits the one the question names", "line_item_match": "the passage names a line item the question names, by any of its names",
+    "total_row_boost": "a total row whose label shares a stem with the question", "inventory_composition_boost": "a breakdown of inventories, if finished goods are asked for",
+    "preferred_filing_year_boost": "a filing of the latest year asked for, if the question names a company without year", "low_confidence_column_penalty": "a row with generic column captions",
+    "year_match_boost": "the passage speaks of a year asked for", "statement_type_hint_boost": "the passage stands in the statement asked for, or its label is a core item of it",
+}
 # How a question names a statement.
 STATEMENTS = {"income_statement": r"income statement|statement of operations|p&l", "balance_sheet": r"balance sheet|financial position", "cash_flow": r"cash[ -]flow"}
 
@@ -84,32 +104,77 @@ def overlap(index: Index, asked: DataFrame) -> DataFrame:
     return held.join(weight, ["store", "token"]).groupBy("qid", "key").agg(F.sum("w").alias("overlap"))
 
 
+def line_item_keys(text: Column) -> Column:
+    """The terms a text names, and the variables (as `=name`) of which it names any alias."""
+    variable = {a: f"={name}" for name, aliases in ALIASES.items() for a in (name.replace("_", " "), *aliases)}
+    of = F.create_map(*(F.lit(x) for kv in variable.items() for x in kv))
+    found = T.names_terms(text, tuple(dict.fromkeys((*T.TERMS, *variable))))
+    return F.array_union(F.array_intersect(found, F.array(*map(F.lit, T.TERMS))), F.array_compact(F.transform(found, lambda a: F.try_element_at(of, a))))
+
+
+def core_statements(content: Column) -> Column:
+    """The statements of which a row's label is a core item."""
+    label = F.trim(F.regexp_extract(content, r"Line Item:\s*([^|]+)", 1))
+    return F.array_compact(F.array(*(F.when(F.size(T.names_terms(label, items)) > 0, F.lit(s)) for s, items in CORE_ITEMS.items())))
+
+
 def passage_marks(passages: DataFrame) -> DataFrame:
-    """key, total, named, weak, years, section: what the rules look at, once per passage."""
+    """key, total, named, weak, years, section, items, composition, core, filing, filing_year: what the rules look at, once per passage."""
+    filing = F.coalesce(F.nullif(F.regexp_extract("content", r"(?:Document|Report): ([^ |]+)", 1), F.lit("")), F.col("company"))
     label = F.regexp_extract("content", r"Line Item:\s*Total\b([^|]*)", 1)
     return passages.select(
         F.col("ord").alias("key"), F.col("content").rlike(r"Line Item:\s*Total\b").alias("total"), F.array_remove(T.stems(label), "total").alias("named"), F.col("content").rlike(r"\bCol\d+:").alias("weak"),
-        T.years(F.concat_ws(" ", "period", "content")).alias("years"), "section",
+        T.years(F.concat_ws(" ", "period", "content")).alias("years"), "section", line_item_keys(F.col("content")).alias("items"), F.lower("content").rlike(COMPOSITION).alias("composition"),
+        core_statements(F.col("content")).alias("core"), T.company_key(filing).alias("filing"), T.filing_year(filing).alias("filing_year"),
     )
 
 
 def question_marks(asked: DataFrame) -> DataFrame:
-    """qid, asked_stems, asked_years, hint: the same of the questions."""
+    """qid, asked_stems, asked_years, hint, asked_items, goods, entity, entity_year: the same of the questions."""
     hints = [F.lower("question").rlike(p).cast("int") for p in STATEMENTS.values()]
     one = sum(hints[1:], hints[0]) == 1
     hint = F.when(one, F.coalesce(*(F.when(h == 1, F.lit(s)) for s, h in zip(STATEMENTS, hints))))
-    return asked.select("qid", T.stems(F.col("question")).alias("asked_stems"), T.years(F.col("question")).alias("asked_years"), hint.alias("hint"))
+    return asked.select(
+        "qid", T.stems(F.col("question")).alias("asked_stems"), T.years(F.col("question")).alias("asked_years"), hint.alias("hint"),
+        line_item_keys(F.col("question")).alias("asked_items"), F.lower("question").rlike(r"\bfinished\s+goods\b").alias("goods"), T.company_key(F.col("doc_name")).alias("entity"), T.filing_year(F.col("doc_name")).alias("entity_year"),
+    )
+
+
+def company_factor() -> Column:
+    """How well a passage's filing fits the one the question names; 1 where either says nothing."""
+    doc, own = F.col("filing"), F.col("entity")
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    words = F.filter(F.split(own, " "), lambda w: F.length(w) >= 2)
+    shared = F.size(F.filter(words, lambda w: F.array_contains(F.split(doc, " "), w)))
+    contained = F.contains(doc, own) | F.contains(own, doc) | F.contains(bare(doc), bare(own)) | F.contains(bare(own), bare(doc))
+    tier = (
+        F.when(doc == own, COMPANY_TIERS["exact"]).when(contained | ((shared == F.size(words)) & (shared > 0)), COMPANY_TIERS["contained"]).when(F.size(words) == 0, 1.0)
+        .when(shared > 0, COMPANY_TIERS["partial"]).otherwise(COMPANY_TIERS["other"])
+    )
+    moved = F.coalesce(F.col("filing_year") != F.col("entity_year"), F.lit(False)) & (tier > 1)
+    nothing = (F.coalesce(doc, F.lit("")) == "") | F.coalesce(own, F.lit("")).isin("", "company", "unknown")
+    return F.when(nothing, 1.0).when(moved, COMPANY_TIERS["other_period"]).otherwise(tier)
+
+
+def rule_report(spark: SparkSession) -> DataFrame:
+    """rule, factor, what: every rule in the order of its application; a factor that depends reads as its greatest and least."""
+    tiers = f"{max(COMPANY_TIERS.values())} to {min(COMPANY_TIERS.values())}"
+    return spark.createDataFrame([(i, r, tiers if r == "company_match" else str(RULES[r]), what) for i, (r, what) in enumerate(WHAT_RULES_DO.items(), 1)], "place int, rule string, factor string, what string")
 
 
 def rule_factors(switched_off: frozenset[str] = frozenset()) -> dict[str, Column]:
     """Each rule's factor over the marks of a passage and a question, 1 where it doesn't apply; a rule that is off is always 1."""
     applies = {
+        "line_item_match": F.arrays_overlap("items", "asked_items"),
         "total_row_boost": F.col("total") & ((F.size("named") == 0) | F.arrays_overlap("named", "asked_stems")),
+        "inventory_composition_boost": F.col("composition") & F.col("goods"),
+        "preferred_filing_year_boost": F.col("entity_year").isNull() & (F.col("filing_year") == F.array_max("asked_years")),
         "low_confidence_column_penalty": F.col("weak"),
         "year_match_boost": F.arrays_overlap("years", "asked_years"),
-        "statement_type_hint_boost": F.col("section") == F.col("hint"),
+        "statement_type_hint_boost": F.coalesce(F.col("section") == F.col("hint"), F.lit(False)) | F.array_contains("core", F.col("hint")),
     }
-    return {name: F.when(F.lit(name not in switched_off) & F.coalesce(applies[name], F.lit(False)), factor).otherwise(1.0) for name, factor in RULES.items()}
+    fit = {"company_match": company_factor() if "company_match" not in switched_off else F.lit(1.0)}
+    return fit | {name: F.when(F.lit(name not in switched_off) & F.coalesce(applies[name], F.lit(False)), factor).otherwise(1.0) for name, factor in RULES.items()}
 
 
 def search(passages: DataFrame, questions: DataFrame, top_k: int = 5, switched_off: frozenset[str] = frozenset(), exclude: DataFrame | None = None, index: Index | None = None) -> DataFrame:
@@ -119,7 +184,7 @@ def search(passages: DataFrame, questions: DataFrame, top_k: int = 5, switched_o
     they still count for the index. Questions without a known company or text give no row.
     """
     index = index or Index(passages)
-    asked = questions.where("question IS NOT NULL").select(F.col("id").alias("qid"), question_store(F.col("doc_name")).alias("store"), "question")
+    asked = questions.where("question IS NOT NULL").select(F.col("id").alias("qid"), question_store(F.col("doc_name")).alias("store"), "question", "doc_name")
     parts = bm25(index, asked).select("qid", "key", F.col("bm25").alias("b"), F.lit(0.0).alias("o")).unionByName(overlap(index, asked).select("qid", "key", F.lit(0.0).alias("b"), F.col("overlap").alias("o")))
     found = parts.groupBy("qid", "key").agg((W_BM25 * F.sum("b") + W_OVERLAP * F.sum("o")).alias("base"))
     if exclude is not None:

@@ -53,21 +53,42 @@ _STEMS = lambda c: f"list_distinct(list_transform(regexp_extract_all(lower({c}),
 _YEARS = lambda c: f"list_concat(regexp_extract_all({c}, '(20\\d\\d)', 1), list_transform(regexp_extract_all({c}, 'FY(\\d\\d)(?:[^\\d]|$)', 1), lambda y: '20' || y))"
 
 
+_ITEM_NAMES = {a: f"={name}" for name, aliases in facts.ALIASES.items() for a in (name.replace("_", " "), *aliases)}
+_quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+_named = lambda c, words: f"list_filter([{_quoted(words)}], lambda t: CASE WHEN contains(lower({c}), t) THEN regexp_matches(lower({c}), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(t) || 's?([^\\p{{L}}\\p{{N}}_]|$)') ELSE false END)"
+_ITEMS = lambda c: f"list_concat({_named(c, T.TERMS)}, list_transform({_named(c, _ITEM_NAMES)}, lambda a: MAP {{{', '.join(f"{_quoted([a])}: '{n}'" for a, n in _ITEM_NAMES.items())}}}[a]))"
+_NORMAL = lambda c: f"array_to_string(list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(trim({c}), '\\.[A-Za-z0-9]{{1,4}}$', ''), '[_\\-]', ' ', 'g')), '\\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '(20\\d\\d)(q[1-4])?|(10k|10q|8k)')), ' ')"
+_PERIOD = lambda c: f"nullif(upper(regexp_extract(lower({c}), '(20\\d\\d(?:q[1-4])?)', 1)), '')"
+_LABEL = "trim(regexp_extract(content, 'Line Item:\\s*([^|]+)', 1))"
+_FILING = "coalesce(nullif(regexp_extract(content, '(?:Document|Report): ([^ |]+)', 1), ''), company)"
+_CORE = "list_filter([" + ", ".join(f"CASE WHEN len({_named(_LABEL, items)}) > 0 THEN '{s}' END" for s, items in ranking.CORE_ITEMS.items()) + "], lambda x: x IS NOT NULL)"
+_FIT = """CASE WHEN coalesce(filing, '') = '' OR coalesce(entity, '') IN ('', 'company', 'unknown') THEN 1.0 WHEN tier > 1 AND filing_year IS NOT NULL AND entity_year IS NOT NULL AND filing_year <> entity_year THEN 0.4 ELSE tier END"""
+_TIER = """CASE WHEN filing = entity THEN 2.0 WHEN contains(filing, entity) OR contains(entity, filing) OR contains(replace(filing, ' ', ''), replace(entity, ' ', '')) OR contains(replace(entity, ' ', ''), replace(filing, ' ', ''))
+    OR (len(ew) > 0 AND len(list_filter(ew, lambda w: list_contains(string_split(filing, ' '), w))) = len(ew)) THEN 1.8 WHEN len(ew) = 0 THEN 1.0 WHEN len(list_filter(ew, lambda w: list_contains(string_split(filing, ' '), w))) > 0 THEN 1.2 ELSE 0.05 END"""
+
+
 def _search_sql(top: int, off: frozenset[str] = frozenset()) -> str:
     hints = " + ".join(f"CAST(regexp_matches(lower(question), '{p}') AS INT)" for p in ranking.STATEMENTS.values())
     hint = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{s}'" for s, p in ranking.STATEMENTS.items()) + " END"
     conditions = {
+        "line_item_match": "list_has_any(items, asked_items)",
         "total_row_boost": f"regexp_matches(content, 'Line Item:\\s*Total\\b') AND (len(list_filter({_STEMS("regexp_extract(content, 'Line Item:\\s*Total\\b([^|]*)', 1)")}, lambda x: x <> 'total')) = 0 OR list_has_any({_STEMS("regexp_extract(content, 'Line Item:\\s*Total\\b([^|]*)', 1)")}, {_STEMS('question')}))",
+        "inventory_composition_boost": f"regexp_matches(lower(content), '{ranking.COMPOSITION}') AND regexp_matches(lower(question), '\\bfinished\\s+goods\\b')",
+        "preferred_filing_year_boost": f"entity_year IS NULL AND filing_year = list_max({_YEARS('question')})",
         "low_confidence_column_penalty": "regexp_matches(content, '\\bCol\\d+:')",
         "year_match_boost": f"list_has_any({_YEARS("concat_ws(' ', period, content)")}, {_YEARS('question')})",
-        "statement_type_hint_boost": f"({hints}) = 1 AND coalesce(section = ({hint}), false)",
+        "statement_type_hint_boost": f"({hints}) = 1 AND (coalesce(section = ({hint}), false) OR list_contains(core, ({hint})))",
     }
     flags = ", ".join(f"({'coalesce(' + c + ', false)' if n not in off else 'false'}) AS {n}" for n, c in conditions.items())
-    product = " * ".join(f"(CASE WHEN {n} THEN {ranking.RULES[n]} ELSE 1.0 END)" for n in conditions)
-    named = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in conditions)
+    fit = _FIT if "company_match" not in off else "1.0"
+    product = "fit * " + " * ".join(f"(CASE WHEN {n} THEN {ranking.RULES[n]} ELSE 1.0 END)" for n in conditions)
+    named = "CASE WHEN fit <> 1.0 THEN 'company_match' END, " + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in conditions)
     return f"""WITH {_INDEX}, {_BM25}, {_OVERLAP},
   c AS (SELECT qid, ord, 0.7 * coalesce(bm25, 0) + 0.3 * coalesce(overlap, 0) AS score0 FROM bm FULL JOIN ov USING (qid, ord)),
-  f AS (SELECT c.*, {flags} FROM c JOIN base USING (ord) JOIN asked a ON a.qid = c.qid),
+  pm AS MATERIALIZED (SELECT ord, period, section, content, {_ITEMS('content')} AS items, {_CORE} AS core, {_NORMAL(_FILING)} AS filing, {_PERIOD(_FILING)} AS filing_year FROM passages),
+  qm AS MATERIALIZED (SELECT id AS qid, question, {_ITEMS('question')} AS asked_items, {_NORMAL('doc_name')} AS entity, {_PERIOD('doc_name')} AS entity_year, list_filter(string_split({_NORMAL('doc_name')}, ' '), lambda w: length(w) >= 2) AS ew FROM questions),
+  j AS (SELECT c.*, pm.* EXCLUDE (ord), qm.* EXCLUDE (qid), {_TIER} AS tier FROM c JOIN pm USING (ord) JOIN qm ON qm.qid = c.qid),
+  f AS (SELECT qid, ord, score0, {fit} AS fit, {flags} FROM j),
   s AS (SELECT qid AS id, ord, score0 * {product} AS score, concat_ws(',', {named}) AS applied_rules FROM f),
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, ord) AS rank FROM s WHERE round(score, 6) > 0.01)
 SELECT id, ord, rank, round(score, 4) AS relevance_score, applied_rules FROM r WHERE rank <= {top}"""
@@ -135,9 +156,17 @@ def search_topk(spark: SparkSession, d: str) -> DataFrame:
     return ranking.search(_passages(spark, d), table(spark, d, "questions"))
 
 
-@query(_search_sql(15, frozenset(ranking.RULES)))
+@query(_search_sql(15, frozenset(ranking.WHAT_RULES_DO)))
 def search_rules_off(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.search(_passages(spark, d), table(spark, d, "questions"), 15, frozenset(ranking.RULES))
+    return ranking.search(_passages(spark, d), table(spark, d, "questions"), 15, frozenset(ranking.WHAT_RULES_DO))
+
+
+@query("""SELECT * FROM (VALUES (1, 'company_match', '2.0 to 0.05', 'scales by how well the passage''s filing fits the one the question names'), (2, 'line_item_match', '1.5', 'the passage names a line item the question names, by any of its names'),
+  (3, 'total_row_boost', '1.3', 'a total row whose label shares a stem with the question'), (4, 'inventory_composition_boost', '3.0', 'a breakdown of inventories, if finished goods are asked for'),
+  (5, 'preferred_filing_year_boost', '1.3', 'a filing of the latest year asked for, if the question names a company without year'), (6, 'low_confidence_column_penalty', '0.5', 'a row with generic column captions'),
+  (7, 'year_match_boost', '1.4', 'the passage speaks of a year asked for'), (8, 'statement_type_hint_boost', '1.5', 'the passage stands in the statement asked for, or its label is a core item of it')) t(place, rule, factor, what)""")
+def rule_report(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.rule_report(spark)
 
 
 @query(f"SELECT * FROM ({_search_sql(6)}) WHERE rank > 1".replace("SELECT * FROM (WITH", "SELECT id, ord, rank - 1 AS rank, relevance_score, applied_rules FROM (WITH"))

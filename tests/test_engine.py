@@ -51,7 +51,7 @@ def corpus(spark):
 
 def test_search_by_hand(spark, corpus):
     q = spark.createDataFrame([("q1", "ACME_2023_10K", "revenue growth"), ("q2", None, "x"), ("q3", "ACME", None), ("q4", "acme-2023", "total revenue 2023")], "id string, doc_name string, question string")
-    plain = {(r.id, r.ord): r for r in ranking.search(corpus, q, switched_off=frozenset(ranking.RULES)).collect()}
+    plain = {(r.id, r.ord): r for r in ranking.search(corpus, q, switched_off=frozenset(ranking.WHAT_RULES_DO)).collect()}
     docs = {o: c for _, o, c, *_ in PASSAGES if o < 5}
     toks = {1: ["company", "acme", "line", "item", "total", "revenue", "2023", "5,000", "revenue", "total revenue"], 2: ["revenue"] * 3 + ["growth"] * 2 + ["revenue"], 3: docs[3].split(), 4: []}
     n, avg = 4, sum(map(len, toks.values())) / 4
@@ -68,10 +68,22 @@ def test_search_by_hand(spark, corpus):
     got = {o: r.relevance_score for (i, o), r in plain.items() if i == "q1"}
     assert got == {o: round(s, 4) for o, s in want.items() if s > 0.01} and {i for i, _ in plain} == {"q1", "q4"}
     ruled = {(r.id, r.ord): r for r in ranking.search(corpus, q).collect()}
-    assert ruled["q1", 1].applied_rules == "total_row_boost" and ruled["q4", 1].applied_rules == "total_row_boost,year_match_boost"
+    assert ruled["q1", 1].applied_rules == "company_match,line_item_match,total_row_boost" and ruled["q4", 1].applied_rules == "company_match,line_item_match,total_row_boost,year_match_boost"
     assert ranking.search(corpus.limit(0), q).count() == 0 and ranking.search(corpus, q.limit(0)).count() == 0
 
 
+def test_rules_by_hand(spark):
+    cases = [("ACME_2023_10K", "acme 2023", 2.0), ("ACME_2023_10K", "acme 2022", 0.4), ("ACME_FOODS_2023", "acme", 1.8), ("ACMEFOODS", "acme foods", 1.8), ("ACME_FOODS", "acme paper", 1.2), ("BETA", "acme", 0.05), ("BETA", "", 1.0), (None, "acme", 1.0), ("ACME", "company", 1.0)]
+    d = spark.createDataFrame([(a, b, i) for i, (a, b, _) in enumerate(cases)], "a string, b string, i int")
+    d = d.select("i", T.company_key(F.col("a")).alias("filing"), T.filing_year(F.col("a")).alias("filing_year"), T.company_key(F.col("b")).alias("entity"), T.filing_year(F.col("b")).alias("entity_year"))
+    assert [r.x for r in d.select("i", ranking.company_factor().alias("x")).orderBy("i").collect()] == [x for *_, x in cases]
+    named = lambda t: set(one(spark, T.names_terms(F.col("t"), ("net sale", "r&d", "cash", "存貨")), t=t))
+    assert named("Net sales of R&D, cashier") == {"net sale", "r&d"} and named("cash.") == {"cash"} and named("") == set()
+    items = one(spark, ranking.line_item_keys(F.col("t")), t="What was the turnover of inventories and capex?")
+    assert "=inventory" in items and "inventories" in items and "capex" in items
+    assert one(spark, ranking.core_statements(F.col("t")), t="Company: A | Line Item: Total assets | 2023: 5") == ["balance_sheet"] and ranking.rule_report(spark).count() == 8
+
+
 def test_quota(spark):
     rows = [("q", f"a{i}", "0", 100 - i) for i in range(10)] + [("q", f"b{i}", "1", 30 - 10 * i) for i in range(3)]
     got = [r.ord for r in ranking.quota_window(spark.createDataFrame(rows, "id string, ord string, subquery string, score int"), 6).orderBy("position").collect()]
