@@ -71,6 +71,11 @@ class Index:
         self.stats = store_stats(self.post, passages)
 
 
+def grown(frequency: DataFrame, new: DataFrame) -> DataFrame:
+    """store, token, df: document frequencies with those of passages that came in; the old passages aren't read again."""
+    return frequency.unionByName(new).groupBy("store", "token").agg(F.sum("df").alias("df"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 

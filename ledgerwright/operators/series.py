@@ -99,3 +99,24 @@ def nearest_filings(documents: DataFrame, filings: DataFrame, days: int = 45) ->
 def sharded(df: DataFrame, shards: int, key: str = "id") -> DataFrame:
     """key, shard: rows dealt to shards by a stable hash; no order over all rows is needed for it."""
     return df.select(key, F.pmod(F.crc32(F.col(key).cast("string")), F.lit(shards)).cast("int").alias("shard"))
+
+
+def latest_pair(best: DataFrame) -> DataFrame:
+    """company, canonical, year, val, place: the latest year of each item, and the one before it where it is the year before."""
+    by = W.partitionBy("company", "canonical").orderBy(F.desc("year"))
+    d = best.withColumn("place", F.row_number().over(by)).withColumn("later", F.lag("year").over(by).cast("int"))
+    return d.where("place = 1 OR (place = 2 AND later = CAST(year AS INT) + 1)").select("company", "canonical", "year", "val", "place")
+
+
+def distinct_sums(facts: DataFrame, items: tuple[str, ...]) -> DataFrame:
+    """company, canonical, year, rows, total: sums of items of which the same value in several rows counts once."""
+    d = named(facts).where(F.col("canonical").isin(*items))
+    return d.groupBy("company", "canonical", "year").agg(F.count("*").alias("rows"), F.round(F.sum_distinct("val"), 4).alias("total"))
+
+
+def strict_quick_ratio(wide: DataFrame, share: float = 0.15) -> DataFrame:
+    """company, year, value, strict: quick ratio without inventory, and without prepaid items where they are a share of current liabilities."""
+    strict = F.coalesce(F.abs("prepaid"), F.lit(0.0)) >= share * F.abs("current_liabilities")
+    left = F.col("current_assets") - F.col("inventory") - F.when(strict, F.col("prepaid")).otherwise(0.0)
+    d = wide.where("current_assets IS NOT NULL AND inventory IS NOT NULL AND current_liabilities <> 0")
+    return d.select("company", "year", F.round(left / F.col("current_liabilities"), 4).alias("value"), strict.alias("strict"))

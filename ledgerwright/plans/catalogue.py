@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.plans import analytics, measured
+from ledgerwright.plans import analytics, measured, reading
 
-MODULES = (analytics, measured)
+MODULES = (analytics, measured, reading)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
