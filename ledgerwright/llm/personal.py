@@ -449,6 +449,20 @@ def masked(text: str, found: list[tuple[int, int, str, str]], key: bytes) -> str
     return "".join([*out, text[at:]])
 
 
+def only_mentions_changed(text: str | None, new: str | None, found) -> bool:
+    """Whether a masked text is the text with a placeholder of the right kind for each mention (kind, start_at, end_at), and nothing else."""
+    if text is None or new is None:
+        return text is new and not len(found)
+    at = behind = 0
+    for m in found:
+        rest = text[at : m["start_at"]]
+        mark = re.compile(rf"\[{m['kind'].upper()} [^\]]*\]").match(new, behind + len(rest))
+        if not new.startswith(rest, behind) or not mark:
+            return False
+        at, behind = m["end_at"], mark.end()
+    return text[at:] == new[behind:]
+
+
 # ---------------------------------------------------------------- over tables
 
 

@@ -362,6 +362,15 @@ def test_masking(spark):
     assert found == {(1, "phone", 5), (1, "phone", 23), (2, "name", 4), (2, "phone", 21), (6, "name", 4)}
 
 
+def test_what_else_changed_is_noticed():
+    text = "Mr. Zembrandt: call 5625550191."
+    found = personal.mentions(text)
+    spans = [{"kind": k, "start_at": a, "end_at": b} for a, b, k, _ in found]
+    new = personal.masked(text, found, b"k")
+    assert personal.only_mentions_changed(text, new, spans) and not personal.only_mentions_changed(text, new + " ", spans) and not personal.only_mentions_changed(text, text, spans)
+    assert not personal.only_mentions_changed(text, new.replace("[PHONE", "[NAME"), spans) and personal.only_mentions_changed(None, None, []) and not personal.only_mentions_changed("a", None, [])
+
+
 def test_lexicon_finds_names_without_a_cue(spark):
     df = spark.createDataFrame([(i, "Copies were mailed to Juno Drosthoff, and so on.") for i in range(3)] + [(9, "Juno Drosthoff: Could you say more? Then Drosthoff, Juno: Yes. Operator: Good morning. Net Sales: 5."), (10, "TOTAL NET SALES: 4. JUNO DROSTHOFF: Could you? JUNO FOODS")], "doc_id long, text string")
     for most in (personal.MOST_WORDS, 0):  # the lexicon sent to every task, and joined with the words of the texts
