@@ -11,11 +11,31 @@ from pyspark.sql.window import Window as W
 
 from ledgerwright.functions import text as T
 
-# What begins a section, in order; the first that is found counts.
+# What begins a section, over lower-case text, in order; the first that is found counts.
 SECTIONS = (
-    ("risk_factors", r"risk factors"), ("mda", r"management.s discussion"), ("market_risk", r"quantitative and qualitative disclosures"), ("legal", r"legal proceedings"),
-    ("properties", r"item 2\.?\s+properties"), ("business", r"item 1\.?\s+business"), ("balance_sheet", r"balance sheets?"), ("cash_flow", r"statements? of cash flows?"),
-    ("income_statement", r"statements? of (?:operations|income|earnings)"), ("notes", r"notes to (?:the )?(?:consolidated )?financial statements"),
+    ("income_statement", r"consolidated\s+statements?\s+of\s+(?:operations|income|earnings|comprehensive)"),
+    ("income_statement", r"statements?\s+of\s+(?:operations|income|earnings)"),
+    ("balance_sheet", r"consolidated\s+balance\s+sheets?"),
+    ("balance_sheet", r"balance\s+sheets?|financial\s+position"),
+    ("cash_flow", r"consolidated\s+statements?\s+of\s+cash\s+flows?"),
+    ("cash_flow", r"statements?\s+of\s+cash\s+flows?|cash\s+flow\s+statements?"),
+    ("equity_statement", r"statements?\s+of\s+(?:stockholders|shareholders|changes\s+in).*equity"),
+    ("general_mda", r"item\s+7[^a-z].*management.{0,20}discussion|management.{0,20}discussion.{0,40}analysis"),
+    ("notes_market_risk", r"item\s+7a[^a-z].*quantitative.*market\s+risk"),
+    ("income_statement", r"item\s+8[^a-z].*financial\s+statements"),
+    ("notes_litigation", r"note\s+\d+[^\n]*(?:litigation|legal\s+proceed|contingenc)"),
+    ("notes_income_tax", r"note\s+\d+[^\n]*(?:income\s+tax|tax\s+provision)"),
+    ("notes_debt", r"note\s+\d+[^\n]*(?:long.term\s+debt|debt|borrowing)"),
+    ("notes_segments", r"note\s+\d+[^\n]*(?:segment|geographic)"),
+    ("notes_pension", r"note\s+\d+[^\n]*(?:pension|retirement|benefit)"),
+    ("notes_leases", r"note\s+\d+[^\n]*(?:lease|right.of.use)"),
+    ("notes_acquisitions", r"note\s+\d+[^\n]*(?:acquisit|business\s+combination)"),
+    ("notes_stock_comp", r"note\s+\d+[^\n]*(?:stock.based|share.based|equity\s+award)"),
+    ("notes_general", r"notes?\s+to\s+(?:the\s+)?(?:consolidated\s+)?financial\s+statements?"),
+    ("risk_factors", r"item\s+1a[^a-z].*risk\s+factors?"),
+    ("business_overview", r"item\s+1[^a-z].*business|overview\s+of\s+(?:our\s+)?business"),
+    ("selected_data", r"selected\s+(?:financial|consolidated)\s+data"),
+    ("cover_page", r"annual\s+report|form\s+10-?k|united\s+states.*securities"),
 )
 # Thresholds of a garbled page, and of words of a row.
 GARBLED_TOKENS, GARBLED_SHARE, ROW_TOLERANCE = 25, 0.12, 2.0

@@ -40,6 +40,21 @@ def over_budget(ledger: DataFrame, budget: int) -> DataFrame:
     return d.where(F.col("tokens") > budget).withColumn("share", F.round(F.col("tokens") / budget, 4))
 
 
+def notices(ledger: DataFrame, cap: int, steps: tuple[float, ...] = (0.5, 0.8, 1.0), size: int = 4096) -> DataFrame:
+    """day, step, ledger_id, tokens: the line by which a day of collection reaches a share of the cap, in the order of lines; once per day and step.
+
+    Sums of blocks of lines are added up first, so a day with many lines is no single window; only the blocks in which a
+    step is reached are looked at line by line.
+    """
+    d = tidy(ledger).where("tokens IS NOT NULL AND read_at IS NOT NULL").select(F.to_date("read_at").alias("day"), F.floor(F.col("ledger_id") / size).alias("block"), "ledger_id", "tokens")
+    block = d.groupBy("day", "block").agg(F.sum("tokens").alias("total"))
+    block = block.withColumn("before", F.coalesce(F.sum("total").over(W.partitionBy("day").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    reached = block.select("*", F.explode(F.array(*map(F.lit, steps))).alias("step")).where((F.col("before") < F.col("step") * cap) & (F.col("before") + F.col("total") >= F.col("step") * cap))
+    run = F.col("before") + F.sum("tokens").over(W.partitionBy("day", "block", "step").orderBy("ledger_id").rowsBetween(W.unboundedPreceding, 0))
+    line = d.join(reached.select("day", "block", "before", "step"), ["day", "block"]).withColumn("run", run).where(F.col("run") >= F.col("step") * cap)
+    return line.groupBy("day", "step").agg(F.min("ledger_id").alias("ledger_id"), F.min_by("run", "ledger_id").alias("tokens"))
+
+
 def top_writers(ledger: DataFrame, n: int = 12) -> DataFrame:
     d = tidy(ledger).groupBy("pid").agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     return d.orderBy(F.desc("tokens"), "pid").limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.operators import facts, judging, layout, ranking, series, shapes, tables
+from ledgerwright.operators import facts, judging, layout, ranking, series, shapes, tables, usage
 from ledgerwright.plans.analytics import _DECODED, _FACTS
 from ledgerwright.runtime import table
 
@@ -145,6 +145,13 @@ def words_grown(spark: SparkSession, d: str) -> DataFrame:
     return ranking.grown(of(p.where("type = 'table_row'")), of(p.where("type IS NULL OR type <> 'table_row'")))
 
 
+@query("""WITH once AS (SELECT min(ledger_id) AS ledger_id, coalesce(total_tokens, prompt_tokens + completion_tokens) AS tokens, min(read_at)::DATE AS day FROM usage_ledger GROUP BY ts, date, pid, model, caller, prompt_tokens, completion_tokens, reasoning_tokens, total_tokens, prompt_chars),
+  r AS (SELECT day, ledger_id, sum(tokens) OVER (PARTITION BY day ORDER BY ledger_id)::BIGINT AS run FROM once WHERE tokens IS NOT NULL), s(step) AS (VALUES (0.5::DOUBLE), (0.8), (1.0))
+SELECT day, step, min(ledger_id) AS ledger_id, arg_min(run, ledger_id) AS tokens FROM r, s WHERE run >= step * 200000 GROUP BY ALL""")
+def ledger_notices(spark: SparkSession, d: str) -> DataFrame:
+    return usage.notices(table(spark, d, "usage_ledger"), 200_000)
+
+
 # ---------------------------------------------------------------- judging
 
 
