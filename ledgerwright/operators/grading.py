@@ -29,6 +29,11 @@ def unlabelled(questions: DataFrame, labels: DataFrame) -> DataFrame:
     return questions.join(labels.where("label IS NOT NULL"), "id", "left_anti").select("id")
 
 
+def unfinished(questions: DataFrame, results: DataFrame) -> DataFrame:
+    """Questions that have no result, or only failed and empty ones, so that a run goes on where it ended; finished ones aren't run again."""
+    return questions.join(results.where("answer IS NOT NULL AND trim(answer) <> ''"), "id", "left_anti")
+
+
 def odd_rules(labels: DataFrame) -> DataFrame:
     """id, label, rule: labels that want a rule and have none, or have one and want none."""
     up = F.upper("label")

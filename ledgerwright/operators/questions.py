@@ -81,11 +81,14 @@ def plan_steps(classes: DataFrame, most: int = 5) -> DataFrame:
 def resolved(questions: DataFrame, filings: DataFrame) -> DataFrame:
     """id, filename: the filing a question's document names: equal keys first, then a key that begins with the other.
 
-    Both joins are on the company; of several filings the one that was registered first counts.
+    Keys meet on their prefixes, so a company's questions and filings aren't all paired; of several filings the one that
+    was registered first counts.
     """
     key = lambda c: F.regexp_replace(F.lower(F.regexp_replace(F.trim(c), r"\.[A-Za-z0-9]{1,4}$", "")), r"[^a-z0-9]+", "")
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.substring(c, F.lit(1), i)))
     f = filings.select(F.upper("company").alias("store"), key(F.col("filename")).alias("f"), "filename", "ordinal")
     q = questions.where("doc_name IS NOT NULL").select("id", question_store(F.col("doc_name")).alias("store"), key(F.col("doc_name")).alias("q"))
-    pair = q.join(f, "store").where((F.col("f") == F.col("q")) | F.col("f").startswith(F.col("q")) | F.col("q").startswith(F.col("f")))
-    best = pair.groupBy("id").agg(F.min_by("filename", F.struct((F.col("f") != F.col("q")).cast("int"), F.col("ordinal"))).alias("filename"))
-    return best
+    longer = q.join(f.select("*", prefixes(F.col("f")).alias("q")), ["store", "q"]).select("id", "q", "f", "filename", "ordinal")
+    shorter = q.select("*", prefixes(F.col("q")).alias("p")).where("p <> q").join(f.withColumnRenamed("f", "p"), ["store", "p"]).select("id", "q", F.col("p").alias("f"), "filename", "ordinal")
+    pair = longer.unionByName(shorter)
+    return pair.groupBy("id").agg(F.min_by("filename", F.struct((F.col("f") != F.col("q")).cast("int"), F.col("ordinal"))).alias("filename"))

@@ -206,6 +206,13 @@ def search(passages: DataFrame, questions: DataFrame, top_k: int = 5, switched_o
     return best.select(F.col("qid").alias("id"), F.col("key").alias("ord"), "rank", F.round("score", 4).alias("relevance_score"), "applied_rules")
 
 
+def own_hits(hits: DataFrame, entities: DataFrame) -> DataFrame:
+    """Hits (id, filing) of the filing a question names (id, entity), or of none; all hits of questions that would keep none."""
+    fits = F.coalesce(T.company_key(F.col("filing")), F.lit("")).isin("") | (T.company_key(F.col("filing")) == T.company_key(F.col("entity")))
+    d = hits.join(entities, "id", "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    return d.withColumn("_any", F.max("_fits").over(W.partitionBy("id"))).where("_fits OR NOT _any").drop("_fits", "_any", "entity")
+
+
 def quota_window(hits: DataFrame, limit: int, quota: int = 2) -> DataFrame:
     """The `limit` best of each id's hits (id, subquery, ord, score), of which each sub-query keeps its `quota` best ones.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.operators import facts, judging, layout, ranking, series, shapes, tables, usage
+from ledgerwright.operators import facts, grading, judging, layout, ranking, series, shapes, tables, usage
 from ledgerwright.plans.analytics import _DECODED, _FACTS
 from ledgerwright.runtime import table
 
@@ -155,6 +155,12 @@ def ledger_notices(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- judging
 
 
+@query("SELECT id FROM questions WHERE id NOT IN (SELECT id FROM questions WHERE answer IS NOT NULL AND trim(answer) <> '')")
+def unfinished_questions(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions")
+    return grading.unfinished(q.select("id"), q.select("id", "answer"))
+
+
 @query(r"""WITH a AS (SELECT id, trim(answer) AS t, lower(trim(answer)) AS low FROM questions WHERE answer IS NOT NULL)
 SELECT id, CASE WHEN regexp_matches(low, '^yes\b') THEN 'yes' WHEN regexp_matches(low, '^no\b') THEN 'no' WHEN regexp_matches(substr(low, 1, 200), '\b(no|not|did not|does not|do not|cannot|was not|were not|is not|are not|never|neither)\b') THEN 'no' END AS stance FROM a""")
 def answer_stance(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwright.operators import judging, layout, series, shapes
+from ledgerwright.operators import grading, judging, layout, questions, ranking, series, shapes
 from ledgerwright.operators.layout import Word
 
 
@@ -74,3 +74,18 @@ def test_judging(spark):
 def test_series_of_two(spark):
     best = spark.createDataFrame([("A", "x", y, 1.0, 1) for y in ("2020", "2021", "2023")] + [("A", "y", y, 1.0, 1) for y in ("2020", "2021")], "company string, canonical string, year string, val double, ord long")
     assert sorted((r.canonical, r.year) for r in series.latest_pair(best).collect()) == [("x", "2023"), ("y", "2020"), ("y", "2021")]
+
+
+def test_resume_and_own_hits(spark):
+    q = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "id string")
+    done = spark.createDataFrame([("1", "yes"), ("2", " "), ("3", None), ("3", "no")], "id string, answer string")
+    assert sorted(r.id for r in grading.unfinished(q, done).collect()) == ["2", "4"]
+    hits = spark.createDataFrame([("1", "ACME_2023.pdf", 1), ("1", "BETA", 2), ("1", None, 3), ("2", "BETA", 4), ("2", "GAMMA", 5), ("3", "X", 6)], "id string, filing string, ord int")
+    who = spark.createDataFrame([("1", "acme-2023-10k"), ("2", "ACME")], "id string, entity string")
+    assert sorted(r.ord for r in ranking.own_hits(hits, who).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_filings_by_prefix(spark):
+    q = spark.createDataFrame([("1", "ACME_2023_10K"), ("2", "acme 2023"), ("3", "ACME_2023_10K_0001_x"), ("4", "BETA_2020"), ("5", None), ("6", "ACME_2022")], "id string, doc_name string")
+    f = spark.createDataFrame([("ACME", "ACME_2023_10K_0001.pdf", 2), ("ACME", "ACME_2023_10K.pdf", 3), ("ACME", "ACME_2023_10K_0001.pdf", 1), ("GAMMA", "BETA_2020.pdf", 1)], "company string, filename string, ordinal long")
+    assert {r.id: r.filename for r in questions.resolved(q, f).collect()} == {"1": "ACME_2023_10K.pdf", "2": "ACME_2023_10K_0001.pdf", "3": "ACME_2023_10K_0001.pdf"}
