@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
 from ledgerwright.functions import text as T
@@ -27,9 +29,38 @@ def _passages(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(n).cast(t).alias(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in typed if n != "ord"), (F.col("ord") if "ord" in have else F.monotonically_increasing_id()).alias("ord"))
 
 
+# Encodings that are tried in order where bytes are no UTF-8, and the share of unreadable characters that is too many.
+ENCODINGS, UNREADABLE = ("cp950", "big5", "gbk", "utf-16", "latin1"), 0.05
+
+
+@F.pandas_udf(StringType())
+def _other_encoding(content: pd.Series) -> pd.Series:
+    def read(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        for name in ENCODINGS:
+            try:
+                text = raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+            if text.count("\ufffd") < UNREADABLE * max(len(text), 1):
+                return text
+        return raw.decode("utf-8", errors="ignore")
+
+    return content.map(read, na_action="ignore")
+
+
+def decoded(content: Column) -> Column:
+    """The text of a file's bytes: UTF-8 in the JVM, with or without its mark; only what isn't goes to Python, encoding by encoding."""
+    valid = F.is_valid_utf8(content.cast("string"))
+    text = F.when(valid, F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(_other_encoding(F.when(~valid, content)))
+    return F.when(content.isNotNull(), text)
+
+
 def read_prose(spark: SparkSession, path: str, size: int = tables.CHUNK, overlap: int = tables.OVERLAP) -> DataFrame:
-    """Text and Markdown files as chunks; the parent of a chunk is the beginning of its file. Empty files give no passage."""
-    src = spark.read.text(path, wholetext=True).select(_stem(F.input_file_name()).alias("company"), T.cleaned(F.col("value")).alias("t")).where("t <> ''")
+    """Text and Markdown files of any of the known encodings as chunks; the parent of a chunk is the beginning of its file. Empty files give no passage."""
+    files = spark.read.format("binaryFile").load(path)
+    src = files.select(_stem(F.col("path")).alias("company"), T.cleaned(decoded(F.col("content"))).alias("t")).where("t <> ''")
     c = src.select("company", F.substring("t", 1, _PROSE).alias("parent_content"), F.posexplode(tables.windows(F.col("t"), size, overlap)).alias("n", "body"))
     return _passages(c.select(F.concat(F.lit("txt_"), "company", F.lit("_"), "n").alias("id"), "company", F.lit("Uploaded Text").alias("period"), F.col("body").alias("content"), F.lit("text_note").alias("type"), F.concat(F.lit("parent_"), "company", F.lit("_txt")).alias("parent_id"), "parent_content", F.lit(True).alias("is_child")))
 

@@ -194,6 +194,15 @@ def test_sources_and_engine(spark, tmp_path):
     assert readers.read_store(spark, str(tmp_path / "store"), "GAMMA").count() == 3 and readers.newest(spark, str(tmp_path / "store")).first().files > 0
 
 
+def test_encodings(spark, tmp_path):
+    texts = {"utf8": "Umsatz für 2023 毛利".encode(), "mark": b"\xef\xbb\xbfNet sales", "big5": "營業收入為五億元".encode("cp950"), "latin": "Chiffre d'affaires: 5 \xa3\xff\xff".encode("latin1"), "none": b""}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()] + [("null", None)], "k string, content binary")
+    got = {r.k: r.t for r in df.select("k", readers.decoded(F.col("content")).alias("t")).collect()}
+    assert got["utf8"] == "Umsatz für 2023 毛利" and got["mark"] == "Net sales" and got["big5"] == "營業收入為五億元" and got["latin"].startswith("Chiffre d'affaires: 5") and got["none"] == "" and got["null"] is None
+    (tmp_path / "ACME.txt").write_bytes(texts["big5"])
+    assert [r.content for r in readers.read_prose(spark, str(tmp_path / "ACME.txt")).collect()] == ["營業收入為五億元"]
+
+
 def test_ingests_of_two_companies_stay_apart(spark):
     e = Engine(spark).ingest_text("ACME", "a", "inventory fell").ingest_text("BETA", "b", "inventory rose").ingest_text("ACME", "c", "inventory fell again")
     assert sorted(r.ord for r in e.passages.collect()) == sorted({r.ord for r in e.passages.collect()}) and e.passages.count() == 3
