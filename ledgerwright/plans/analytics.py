@@ -140,9 +140,8 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INDEX}, {_BM25} SELECT qid AS id, ord, round(bm25, 5) AS bm25 FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, ord) <= 5")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "questions").where("question IS NOT NULL").select(F.col("id").alias("qid"), ranking.question_store(F.col("doc_name")).alias("store"), "question")
-    best = F.row_number().over(_window("qid", F.desc(F.round("bm25", 6)), "key"))
-    return ranking.bm25(ranking.Index(_passages(spark, d)), asked).withColumn("n", best).where("n <= 5").select(F.col("qid").alias("id"), F.col("key").alias("ord"), F.round("bm25", 5).alias("bm25"))
+    best = ranking.bm25(ranking.Index(_passages(spark, d)), table(spark, d, "questions"), 5)
+    return best.select(F.col("qid").alias("id"), F.col("key").alias("ord"), F.round("bm25", 5).alias("bm25"))
 
 
 def _window(part: str, *order):
