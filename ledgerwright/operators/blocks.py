@@ -21,7 +21,7 @@ from ledgerwright.functions import text as T
 TEXTS, CELLS, FIRST = 128, 4_000_000, 512
 # Separator of lists in marks, and the most cells of remembered tiers.
 SEP, REMEMBERED = "\x1f", 32_000_000
-_TOKEN, _WORD, _TERMS = re.compile(T.TOKEN, re.ASCII), re.compile(r"\w+"), frozenset(T.TERMS)
+_TOKEN, _TERMS, _ASCII = re.compile(T.TOKEN, re.ASCII), frozenset(T.TERMS), tuple(t for t in T.TERMS if t.isascii())
 MET = "bucket int, store string, total long, tokens array<string>, dfs array<long>, block binary"
 
 
@@ -34,30 +34,37 @@ def _lists(column: pd.Series) -> tuple[np.ndarray, list[frozenset[str]]]:
 class Named:
     """Which of the terms a lower-cased text names as words of their own, also with a plural s; as functions.text.names_terms.
 
-    A term that is named begins with a word of the text, so only those that begin with one of its words are looked for.
+    A term that is named begins with a word of the text, and a token begins with that word, up to a point and decimals. So
+    only terms that begin with one of the text's tokens are looked for; others than ASCII ones only where a text has such letters.
     """
 
     def __init__(self, terms: tuple[str, ...]):
-        self.by_word, self.always = {}, []
+        self.by_word, self.always, self.other = {}, [], []
         for term in dict.fromkeys(terms):
             seek = term, re.compile(rf"(?<!\w){re.escape(term)}s?(?!\w)").search
-            first = re.match(r"\w+", term)
+            first = re.match(r"[a-z][a-z0-9]*(?!\w)", term)
             for word in {first[0], first[0] + "s"} if first and first[0] == term else {first[0]} if first else ():
                 self.by_word.setdefault(word, []).append(seek)
             if not first:
-                self.always.append(seek)
-
-    def __call__(self, low: str) -> list[str]:
-        near = self.always + [s for w in set(_WORD.findall(low)) & self.by_word.keys() for s in self.by_word[w]]
+                (self.always if term.isascii() else self.other).append(seek)
+
+    def __call__(self, low: str, tokens: list[str] | None = None) -> list[str]:
+        """`tokens`: those of the text, if they are known already."""
+        words = set(_TOKEN.findall(low) if tokens is None else tokens)
+        if "." in low:
+            words |= {t.partition(".")[0] for t in words if "." in t}
+        near = (self.always if low.isascii() else self.always + self.other) + [s for w in words & self.by_word.keys() for s in self.by_word[w]]
         return [term for term, search in near if term in low and search(low)]
 
 
 def _met(store: str, bucket: int, rows: pd.DataFrame, wanted: list[str], items: Named, variables: dict[str, str], core: Named, statements: dict[str, set[str]]) -> tuple:
     low, place = rows["low"].tolist(), {t: j for j, t in enumerate(wanted)}
-    lengths, at, of = np.zeros(len(low), np.int64), [], []
+    lengths, at, of, found = np.zeros(len(low), np.int64), [], [], []
     for i, text in enumerate(low):
         tokens = _TOKEN.findall(text)
-        tokens += [t for t in T.TERMS if t in text]
+        if "label" in rows:
+            found.append(items(text, tokens))
+        tokens += [t for t in (_ASCII if text.isascii() else T.TERMS) if t in text]
         lengths[i] = len(tokens)
         known = [j for t in tokens if (j := place.get(t)) is not None]
         of += known
@@ -75,7 +82,6 @@ def _met(store: str, bucket: int, rows: pd.DataFrame, wanted: list[str], items:
         inside[j] = np.packbits(here)
     d = {"key": rows["key"].to_numpy(), "dl": lengths, "ends": ends, "passage": passage, "tf": tf.astype(np.int32), "inside": inside}
     if "label" in rows:
-        found = [items(text) for text in low]
         keys = [SEP.join(sorted({t for t in ts if t in _TERMS} | {variables[t] for t in ts if t in variables})) for ts in found]
         of_label = {x: {s for t in core(x) for s in statements[t]} for x in rows["label"].unique()}
         sections = [SEP.join(sorted({*of_label[x], section} - {""})) for x, section in zip(rows["label"], rows["section"])]

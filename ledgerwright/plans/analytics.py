@@ -172,7 +172,7 @@ def rule_report(spark: SparkSession, d: str) -> DataFrame:
 def search_excluding_best(spark: SparkSession, d: str) -> DataFrame:
     p, q = _passages(spark, d), table(spark, d, "questions")
     index = ranking.Index(p)
-    return ranking.search(p, q, 5, exclude=ranking.search(p, q, 1, index=index).select("id", "ord"), index=index)
+    return ranking.search(p, q, 5, exclude=ranking.search(p, q, 1, index=index, ahead=5).select("id", "ord"), index=index)
 
 
 @query(f"""SELECT id, ord, relevance_score, position FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY relevance_score DESC, ord) AS position FROM (
